@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, exact_dedup, mixing, quality, token_store
+from netloom.llm import bpe, brown, exact_dedup, mixing, quality, token_store
 from netloom.llm.common import table
 
 
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.brown_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_scores": op1_brown_scores,
     "op2_bpe": op2_bpe,
     "op3_mix_sources": op3_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
