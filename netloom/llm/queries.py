@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, brown, exact_dedup, mixing, quality, token_store, toxicity
+from netloom.llm import bpe, brown, exact_dedup, minhash, mixing, quality, token_store, toxicity
 from netloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2.0)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_scores": op1_brown_scores,
     "op2_bpe": op2_bpe,
     "op3_mix_sources": op3_mix_sources,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_store": op6_token_store,
     "op7_quality_rules": op7_quality_rules,
