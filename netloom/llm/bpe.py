@@ -8,8 +8,8 @@ O(n log n), also for one word of a megabyte.
 The rest follows the vocabulary file: special tokens are cut out first, then NFC,
 lower case, a split into pieces, and bytes as printable characters with ``</w>`` at a
 piece's end. As no piece spans white space, words are encoded one by one; a worker
-remembers the words it has met (two generations of ``CACHE`` words, all the same in
-results).
+remembers the words and pieces it has met (two generations of ``CACHE`` of each; what
+is forgotten is encoded again).
 
 Edge cases: null or blank texts have no tokens and decode to the empty text; repeated
 rows are encoded alike; an empty table gives an empty table.
@@ -21,6 +21,8 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable
+from itertools import pairwise
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import map_arrow, text_bytes
 
-CACHE = 250_000
+CACHE = 400_000
 _NONE = 1 << 62
 #: Fixed by the vocabulary file: how it splits a normalised text.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -58,18 +60,13 @@ class PairTree:
     def put(self, leaf: int, key: int) -> None:
         node, i = self.node, leaf + self.size
         node[i] = key
-        i >>= 1
-        while i:
-            a, b = node[2 * i], node[2 * i + 1]
-            low = a if a < b else b
-            if node[i] == low:
-                break
-            node[i] = low
+        while i > 1:
+            other = node[i ^ 1]
             i >>= 1
-
-    @property
-    def least(self) -> int:
-        return self.node[1]
+            low = key if key < other else other
+            if node[i] == low:
+                return
+            node[i] = key = low
 
 
 class Bpe:
@@ -80,47 +77,60 @@ class Bpe:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special: dict[str, int] = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: pair of ids (left * 2**24 + right) -> rank * 2**32; rank -> merged id
+        self.rank: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.rank.setdefault(self.vocab[a] << 24 | self.vocab[b], rank << 32)
+            self.merged.append(self.vocab[a + b])
         self.alphabet = byte_alphabet()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.new: dict[bytes, tuple[bytes, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.new_pieces: dict[str, list[int]] = {}
+        self.old_pieces: dict[str, list[int]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost among equals, until none applies."""
         n = len(symbols)
         if n < 2:
             return symbols
-        merges = self.merges
-        find = lambda a, b: merges.get((a, b))
-        keys = [(m[0] << 32 | i) if (m := find(symbols[i], symbols[i + 1])) else _NONE for i in range(n - 1)]
-        tree = PairTree(keys)
+        rank, merged = self.rank.get, self.merged
+        tree = PairTree([r | i if (r := rank(a << 24 | b)) is not None else _NONE for i, (a, b) in enumerate(pairwise(symbols))])
+        node, put = tree.node, tree.put
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        symbols, put = list(symbols), tree.put
-        while (least := tree.least) < _NONE:
+        symbols = list(symbols)
+        while (least := node[1]) < _NONE:
             i = least & 0xFFFFFFFF
             j = after[i]
-            symbols[i] = merges[symbols[i], symbols[j]][1]
+            symbols[i] = s = merged[least >> 32]
             symbols[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                put(j, _NONE)
             if k < n:
                 before[k] = i
-                put(i, (m[0] << 32 | i) if (m := find(symbols[i], symbols[k])) else _NONE)
+                put(j, _NONE)
+                put(i, r | i if (r := rank(s << 24 | symbols[k])) is not None else _NONE)
             else:
                 put(i, _NONE)
-            if (h := before[i]) >= 0:
-                put(h, (m[0] << 32 | h) if (m := find(symbols[h], symbols[i])) else _NONE)
+            h = before[i]
+            if h >= 0:
+                put(h, r | h if (r := rank(symbols[h] << 24 | s)) is not None else _NONE)
         return [s for s in symbols if s >= 0]
 
     def piece(self, piece: str) -> list[int]:
-        chars = [self.alphabet[b] for b in piece.encode()]
-        chars[-1] += self.end
-        return self.merge([self.vocab[c] for c in chars if c in self.vocab])
+        hit = self.new_pieces.get(piece)
+        if hit is None:
+            hit = self.old_pieces.get(piece)
+            if hit is None:
+                alphabet, vocab = self.alphabet, self.vocab
+                chars = [alphabet[b] for b in piece.encode()]
+                chars[-1] += self.end
+                hit = self.merge([vocab[c] for c in chars if c in vocab])
+            self.new_pieces[piece] = hit
+            if len(self.new_pieces) >= CACHE:
+                self.old_pieces, self.new_pieces = self.new_pieces, {}
+        return hit
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -128,7 +138,8 @@ class Bpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part)
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
             part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
             for piece in _PIECES.findall(part):
                 out += self.piece(piece)
@@ -146,7 +157,7 @@ class Bpe:
                 hit = old.get(w)
                 if hit is None:
                     ids = self.encode(w.decode())
-                    hit = (np.array(ids, "<u4").tobytes(), self.decode(ids).encode())
+                    hit = (pack(f"<{len(ids)}I", *ids), self.decode(ids).encode())
                 new[w] = hit
                 if len(new) >= CACHE:
                     self.old, self.new = old, new = new, {}
