@@ -66,10 +66,10 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)) if free else cap)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, with_source: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``.
 
-    ``share``: the mix's words as a part of all words. ``taken``: words that the mix
+    With ``with_source`` the source comes along. ``share``: the mix's words as a part of all words. ``taken``: words that the mix
     takes of the document, repeats counted; it is at most ceil(max_epochs) * size.
     """
     sizes = shared_table(word_counts(docs), "sizes")
@@ -97,4 +97,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     w = Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where("cell = end_cell").withColumn("upto", F.sum("size").over(w))
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("upto") + F.col("size")))).drop("upto")
-    return inside.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("whole") + F.col("extra")).cast("long").alias("taken"))
+    return inside.unionByName(edge).select("doc_id", *["source"] * with_source, "size", "source_size", "target", (F.col("size") * F.col("whole") + F.col("extra")).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, columns unchanged.
+
+    A document that is taken in part (one of each source at most) keeps its first words,
+    as many as are taken of its last copy. Rows that repeat id and source are taken
+    alike, by the largest number of words taken of one of them.
+    """
+    taken = mix(docs, weights, share, max_epochs, seed, with_source=True)
+    taken = taken.groupBy("doc_id", "source").agg(F.max(F.struct("taken", "size")).alias("x")).where("x.taken > 0 and x.size > 0")
+    times = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), (F.col("x.taken") / F.col("x.size")).alias("__times"), F.pmod("x.taken", "x.size").alias("__rest"))
+    rows = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil("__times").cast("int"))))
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    cut = F.when(F.col("__copy") > F.col("__times"), F.array_join(F.slice(words, F.lit(1), F.col("__rest").cast("int")), " ")).otherwise(F.col("text"))
+    return rows.withColumn("text", cut).select(*docs.columns)

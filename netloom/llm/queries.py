@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, brown, exact_dedup, minhash, mixing, quality, token_store, toxicity
+from netloom.llm import bpe, brown, chat, exact_dedup, minhash, mixing, quality, repeats, token_store, toxicity
 from netloom.llm.common import table
 
 
@@ -38,6 +38,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(table(spark, sf_dir, "documents"), length=400)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_store": op6_token_store,
     "op7_quality_rules": op7_quality_rules,
+    "op8_repeats": op8_repeats,
+    "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -59,4 +69,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM n""",
+    "op9_chat_format": """
+        SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
+               CAST(to_json({'content': text, 'role': role, 'turn': turn}) AS VARCHAR) AS line
+        FROM conversations""",
 }
