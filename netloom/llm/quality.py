@@ -135,5 +135,10 @@ def quality_report(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents that a policy keeps, with their own columns."""
-    return ledger(docs).where(passes(policy)).select(*docs.columns)
+    """The documents that a policy keeps, with their own columns.
+
+    The row number keeps the optimizer from moving the filter below the ledger, where
+    every use of a measurement would evaluate it anew.
+    """
+    rows = ledger(docs).withColumn("__row", F.monotonically_increasing_id())
+    return rows.where(passes(policy) & (F.col("__row") >= 0)).select(*docs.columns)
