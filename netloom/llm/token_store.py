@@ -28,6 +28,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -217,22 +218,41 @@ class LibraryEncoder:
         return _ENCODERS[key]
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian 32-bit numbers. No token of the vocabulary spans white space."""
-        words = text.split()
+        """Ids as little-endian 32-bit numbers.
+
+        No token spans white space, the vocabulary lower-cases what is no special token
+        (they start with ``<|``), and a full stop or comma after a letter is a piece of
+        its own; so words are asked for in lower case and without that last mark.
+        """
+        words = (text if b"<|" in text else text.lower()).split()
         if len(self.new) >= CACHE:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        unknown = []
+        unknown, marked = set(), []
         for w in set(words):
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    unknown.append(w)
-        for k in range(0, len(unknown), 4096):
-            part = unknown[k : k + 4096]
+            if w in new:
+                continue
+            if w in old:
+                new[w] = old[w]
+                continue
+            if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122:
+                marked.append(w)
+                parts = (w[:-1], w[-1:])
+            else:
+                parts = (w,)
+            for x in parts:
+                if x not in new:
+                    if x in old:
+                        new[x] = old[x]
+                    else:
+                        unknown.add(x)
+        asked = list(unknown)
+        for k in range(0, len(asked), 4096):
+            part = asked[k : k + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, "<u4").tobytes()
+                new[w] = pack(f"<{len(e.ids)}I", *e.ids)
+        for w in marked:
+            new[w] = new[w[:-1]] + new[w[-1:]]
         return b"".join([new[w] for w in words])
 
 
