@@ -190,7 +190,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
             g[a] -= r
             g[:, a] -= l
             g[a, a] -= s
-            row, col, rs, cs = g.sum(1), g.sum(0), r.sum() + s, l.sum() + s
+            row, col, rs, cs = g.sum(1) + l, g.sum(0) + r, r.sum() + s, l.sum() + s  # the others' sums hold w's bigrams whatever its class
             out, into, d = f(g + r) - f(g), f(g + l[:, None]) - f(g), np.arange(k + 1)
             gain = out.sum(1) - out[d, d] + into.sum(0) - into[d, d] + f(g[d, d] + r + l + s) - f(g[d, d]) - (f(row + rs) - f(row)) - (f(col + cs) - f(col))
             best = int(np.argmax(gain[:k]))
