@@ -125,8 +125,12 @@ def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """doc_id, the measurements, base_failed, kept and fail_bits for every row."""
+    """doc_id, the measurements, base_failed, kept and fail_bits for every row.
+
+    Filters on the report stay above the ledger, as in quality_filter.
+    """
     rows = ledger(docs.select(F.col("doc_id"), F.col("text")))
+    rows = rows.withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, F.col("fail_bits")))
     base = F.col("fail_bits").bitwiseAND(F.lit(mask_of(BASE)).cast("long")) != 0
     return rows.select(
         "doc_id", *[F.col("q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
