@@ -69,6 +69,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM n""",
+    "op7_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8),
+        k AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS s FROM g),
+        twice AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) r(j) GROUP BY 1),
+        m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                     coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_caps, len(regexp_extract_all(t, '!')) AS n_marks FROM w LEFT JOIN covered USING (doc_id)),
+        f AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END
+                     + CASE WHEN 100 * n_caps > 50 * word_chars OR 100 * n_marks > 50 * n_words THEN 8 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END
+                     + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END AS bits FROM m)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+               bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits FROM f""",
     "op9_chat_format": """
         SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
                CAST(to_json({'content': text, 'role': role, 'turn': turn}) AS VARCHAR) AS line
