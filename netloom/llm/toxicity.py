@@ -37,7 +37,7 @@ from netloom.llm.common import map_arrow, spark_schema
 MAX_TRAINING_ROWS = 20_000
 MAX_TERMS = 2_000
 WINDOW = 8
-CACHE = 200_000
+CACHE = 400_000
 MIN_CONTEXTS, MIN_ODDS = 6, 2.5
 _WORD = re.compile(r"\w+|[\"«»„“”‹›]")
 _OPEN, _CLOSE = set("«„“‹\""), set("»”“›\"")
@@ -119,9 +119,23 @@ def step(word: str, states: tuple[tuple[int, int], ...], ch: str, edits: int) ->
     return tuple(best.items())
 
 
+_NONE = (0.0, 0.0)
+
+
 class Matcher:
+    """Weights of words, remembered, and features of texts.
+
+    A word within one edit of a term has the term's first or second half unchanged at
+    its own beginning or end; words with neither, nor a beginning, are not looked up.
+    """
+
     def __init__(self, terms: list[Term]):
         self.trie = Trie.of(terms)
+        whole = {t for t, beginning, _ in terms if not beginning}
+        long = {t for t in whole if len(t) >= 5}
+        self.heads = {t for t, beginning, _ in terms if beginning} | {t for t in whole if len(t) < 5} | {t[: len(t) // 2] for t in long}
+        self.tails = {t[len(t) // 2 :] for t in long}
+        self.head_sizes, self.tail_sizes = sorted({len(t) for t in self.heads}), sorted({len(t) for t in self.tails})
         self.new: dict[str, tuple[float, float]] = {}
         self.old: dict[str, tuple[float, float]] = {}
 
@@ -129,9 +143,17 @@ class Matcher:
         if len(self.new) >= CACHE:
             self.old, self.new = self.new, {}
         new, old, match = self.new, self.old, self.trie.match
+        heads, tails, head_sizes, tail_sizes = self.heads, self.tails, self.head_sizes, self.tail_sizes
         for w in set(words):
-            if w not in new:
-                new[w] = old[w] if w in old else match(w)
+            if w in new:
+                continue
+            found = old.get(w)
+            if found is None:
+                maybe = any(w[:k] in heads for k in head_sizes) or any(w[-k:] in tails for k in tail_sizes)
+                found = match(w) if maybe else _NONE
+                if found == _NONE:
+                    found = _NONE
+            new[w] = found
         return [new[w] for w in words]
 
     def features(self, text: str | None) -> list[float]:
