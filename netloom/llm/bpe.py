@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable
 from itertools import pairwise
 from struct import pack
@@ -70,7 +71,8 @@ class PairTree:
 
 
 class Bpe:
-    def __init__(self, spec: str | bytes):
+    def __init__(self, spec: str | bytes, cache: int = CACHE):
+        self.cache = cache
         data = json.loads(spec)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -88,8 +90,8 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.new: dict[bytes, tuple[bytes, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
-        self.new_pieces: dict[str, list[int]] = {}
-        self.old_pieces: dict[str, list[int]] = {}
+        self.new_pieces: dict[str, array] = {}
+        self.old_pieces: dict[str, array] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost among equals, until none applies."""
@@ -118,7 +120,7 @@ class Bpe:
                 put(h, r | h if (r := rank(symbols[h] << 24 | s)) is not None else _NONE)
         return [s for s in symbols if s >= 0]
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> array:
         hit = self.new_pieces.get(piece)
         if hit is None:
             hit = self.old_pieces.get(piece)
@@ -126,9 +128,9 @@ class Bpe:
                 alphabet, vocab = self.alphabet, self.vocab
                 chars = [alphabet[b] for b in piece.encode()]
                 chars[-1] += self.end
-                hit = self.merge([vocab[c] for c in chars if c in vocab])
+                hit = array("I", self.merge([vocab[c] for c in chars if c in vocab]))
             self.new_pieces[piece] = hit
-            if len(self.new_pieces) >= CACHE:
+            if len(self.new_pieces) >= self.cache:
                 self.old_pieces, self.new_pieces = self.new_pieces, {}
         return hit
 
@@ -149,9 +151,12 @@ class Bpe:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
     def words(self, text: bytes) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit numbers, their decoded text) of each word with tokens."""
+        """(ids as little-endian 32-bit numbers, their decoded text) of each word with tokens.
+
+        The vocabulary lower-cases all but special tokens, which start with ``<|``.
+        """
         new, old, found = self.new, self.old, []
-        for w in text.split():
+        for w in (text if b"<|" in text else text.lower()).split():
             hit = new.get(w)
             if hit is None:
                 hit = old.get(w)
@@ -159,7 +164,7 @@ class Bpe:
                     ids = self.encode(w.decode())
                     hit = (pack(f"<{len(ids)}I", *ids), self.decode(ids).encode())
                 new[w] = hit
-                if len(new) >= CACHE:
+                if len(new) >= self.cache:
                     self.old, self.new = old, new = new, {}
             found.append(hit)
         return [x for x in found if x[0]]
@@ -168,11 +173,11 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def loaded(spec: bytes) -> Bpe:
+def loaded(spec: bytes, cache: int = CACHE) -> Bpe:
     """One per worker process, so that what it remembers outlives a task."""
-    key = hashlib.sha256(spec).hexdigest()
+    key = f"{hashlib.sha256(spec).hexdigest()} {cache}"
     if key not in _LOADED:
-        _LOADED[key] = Bpe(spec)
+        _LOADED[key] = Bpe(spec, cache)
     return _LOADED[key]
 
 
@@ -211,12 +216,16 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), batch, "doc_id long, text string")
 
 
-def bpe_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded again, in one pass."""
+def bpe_digest(docs: DataFrame, path: str | None = None, cache: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded again, in one pass.
+
+    ``cache`` bounds what a worker remembers, also after its tasks; it changes memory
+    (about a kilobyte for each) and time, never results.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, n, ids, back = loaded(spec.value), [], [], []
+        bpe, n, ids, back = loaded(spec.value, cache), [], [], []
         for t in text_bytes(b.column(1)):
             found = bpe.words(t)
             raw = b"".join([x[0] for x in found])

@@ -37,11 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.bpe import CACHE, read_spec
+from netloom.llm.bpe import read_spec
 from netloom.llm.common import scratch_path, shared_table, shuffle_partitions, spark_schema, text_bytes
 
 MAGIC = b"NLTOKS01"
 END_ID = 2
+CACHE = 400_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
