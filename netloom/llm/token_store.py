@@ -315,8 +315,8 @@ def read_store(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the wanted ids; each shard answers for the ids inside its range.
 
-    ``wanted`` (doc_id) is matched to shards by range through a join on the manifest's
-    bounds, which are read from the shards.
+    The shards' bounds (a row per shard) are read by tasks and broadcast; each wanted id
+    then finds its shard by bisection, and shards are opened where their ids have met.
     """
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,10 +342,23 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    ranges = manifest.select("uri").mapInArrow(bounds, spark_schema("uri string, low long, high long"))
+    spark = manifest.sparkSession
+    found = sorted((r["low"], r["high"], r["uri"]) for r in manifest.select("uri").mapInArrow(bounds, spark_schema("uri string, low long, high long")).collect())
+    shared = spark.sparkContext.broadcast(found)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = shared.value
+        low = np.array([x[0] for x in ranges], "i8")
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            at = np.searchsorted(low, ids, "right") - 1
+            keep = [k for k, i in enumerate(at.tolist()) if i >= 0 and ids[k] <= ranges[i][1]]
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array([ranges[at[k]][2] for k in keep]), pa.array(ids[keep])], ["uri", "doc_id"])
+
     keys = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    placed = keys.join(ranges, (keys.doc_id >= ranges.low) & (keys.doc_id <= ranges.high)).select("uri", "doc_id")
-    return placed.mapInArrow(fetch, spark_schema("doc_id long, ids array<int>"))
+    placed = keys.mapInArrow(place, spark_schema("uri string, doc_id long"))
+    return placed.repartition(shuffle_partitions(spark), "uri").mapInArrow(fetch, spark_schema("doc_id long, ids array<int>"))
 
 
 def store_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
