@@ -11,6 +11,9 @@ with ``tool_call_id``. Any other text is content and stays as it is.
 * Arguments are checked against the tool's JSON schema (type, properties, required,
   additionalProperties, items, enum); calls of tools without a schema are not judged.
 * Canonical JSON: keys sorted by code point, no spaces, UTF-8, one line a message.
+* All other fields of an assistant's or a tool's object and of its calls, the content
+  beside calls too, stand in the line under their own names; those named as a field
+  that the line gives itself stand together under ``own``.
 
 Edge cases: null texts are null contents; null conversations, turns and roles are kept
 as null; malformed JSON is content; repeated rows give repeated lines; an identifier
@@ -21,6 +24,7 @@ empty table.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +33,20 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import map_arrow, shared_table
 
-_CALL = "call_id: string, name: string, arguments: string, needs: array<string>, valid: boolean"
+_CALL = "call_id: string, name: string, arguments: string, rest: string, needs: array<string>, valid: boolean"
 _TYPES = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    line = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", line)  # half a surrogate pair has no UTF-8
+
+
+def with_rest(given: dict, rest: dict) -> dict:
+    """``given`` and the other fields of an object; none is lost where names clash."""
+    clash = {k: v for k, v in rest.items() if k in given or k == "own"}
+    return given | {k: v for k, v in rest.items() if k not in clash} | ({"own": clash} if clash else {})
 
 
 def validates(value: object, schema: dict) -> bool:
@@ -98,7 +110,7 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple
         if isinstance(args, str):
             args = _object(args) or args
         schema = schemas.get(c["name"])
-        out.append({"call_id": c["id"], "name": c["name"], "arguments": canonical(args), "needs": sorted(set(references(args))), "valid": None if schema is None else validates(args, schema)})
+        out.append({"call_id": c["id"], "name": c["name"], "arguments": canonical(args), "rest": canonical({k: v for k, v in c.items() if k not in ("id", "name", "arguments")}), "needs": sorted(set(references(args))), "valid": None if schema is None else validates(args, schema)})
     return out, None
 
 
@@ -124,7 +136,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
 
     def read(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [parse(r, t, shared.value) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        kind = pa.list_(pa.struct([("call_id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("needs", pa.list_(pa.string())), ("valid", pa.bool_())]))
+        kind = pa.list_(pa.struct([("call_id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("rest", pa.string()), ("needs", pa.list_(pa.string())), ("valid", pa.bool_())]))
         return pa.RecordBatch.from_arrays([*[b.column(k) for k in range(4)], pa.array([x[0] for x in got], kind), pa.array([x[1] for x in got], pa.string())], ["conv", "turn", "role", "text", "calls", "answers"])
 
     rows = messages.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -136,7 +148,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     linked = c.join(results, F.col("c.conv").eqNullSafe(F.col("r.conv")) & (F.col("c.call_id") == F.col("r.answers")), "left").select("c.*", "result_turn").alias("c")
     linked = linked.join(v, F.col("c.conv").eqNullSafe(F.col("v.conv")) & (F.col("c.call_id") == F.col("v.call_id")), "left").select("c.*", "level")
     # a message's own calls, in topological order
-    own = linked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("order"), "at", "call_id", "name", "arguments", "level", "result_turn", "valid"))).alias("linked"))
+    own = linked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("order"), "at", "call_id", "name", "arguments", "rest", "level", "result_turn", "valid"))).alias("linked"))
     full = parsed.join(own, "row", "left").select("conv", "turn", "role", "text", "answers", "linked")
 
     def write(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,10 +156,13 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
         for conv, turn, role, text, answers, linked_ in zip(*[b.column(k).to_pylist() for k in range(6)], strict=True):
             message: dict = {"role": role, "turn": turn}
             if linked_:
-                message["tool_calls"] = [{"id": x["call_id"], "name": x["name"], "arguments": json.loads(x["arguments"]), "level": x["level"], "result_turn": x["result_turn"], "valid": x["valid"]} for x in linked_]
+                given = [{"id": x["call_id"], "name": x["name"], "arguments": json.loads(x["arguments"]), "level": x["level"], "result_turn": x["result_turn"], "valid": x["valid"]} for x in linked_]
+                message["tool_calls"] = [with_rest(c, json.loads(x["rest"])) for c, x in zip(given, linked_, strict=True)]
+                message = with_rest(message, {k: v for k, v in _object(text).items() if k != "tool_calls"})
             elif answers is not None:
                 found = _object(text)
                 message |= {"tool_call_id": answers, "content": found.get("content")}
+                message = with_rest(message, {k: v for k, v in found.items() if k not in ("tool_call_id", "content")})
             else:
                 message["content"] = text
             lines.append(canonical(message))

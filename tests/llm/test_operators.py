@@ -318,6 +318,17 @@ def test_chat_cycles_get_no_level(spark):
     assert line.count('"level":null') == 2 and line.index('"id":"c"') < line.index('"id":"a"')
 
 
+def test_chat_keeps_content_and_other_fields(spark):
+    call = '{"content": "let me look \\ud800", "mood": [1], "turn": "x", "tool_calls": [{"id": "a", "name": "f", "type": "function", "level": "low"}]}'
+    result = '{"tool_call_id": "a", "result": {"k": null}, "role": "server"}'
+    rows = [(1, 0, "assistant", call), (1, 1, "tool", result)]
+    got = {r.turn: r.line for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[0] == (
+        '{"content":"let me look \\ud800","mood":[1],"own":{"turn":"x"},"role":"assistant","tool_calls":[{"arguments":{},"id":"a","level":0,"name":"f","own":{"level":"low"},"result_turn":1,"type":"function","valid":null}],"turn":0}'
+    )
+    assert got[1] == '{"content":null,"own":{"role":"server"},"result":{"k":null},"role":"tool","tool_call_id":"a","turn":1}'
+
+
 def test_levenshtein_automaton():
     r = random.Random(6)
 
