@@ -86,7 +86,7 @@ def kro_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kronecker_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netloom.operators.kronfit import fit_kronecker
 
-    return fit_kronecker(_hops(spark, sf_dir), iterations=10, samples=2_000, warm_up=2_000, seed=SEED)
+    return fit_kronecker(_hops(spark, sf_dir), seed=SEED)
 
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -1,12 +1,14 @@
 """Logs, storage, distributions, synthesis, the command line and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom import cli
+from netloom import cli, queries
 from netloom.functions import scalar as S
 from netloom.metrics import Timer, executor_metrics, graphite_lines
 from netloom.operators import distributions as D
+from netloom.operators import kronfit
 from netloom.operators import synthesis as Y
 from netloom.operators.kronfit import fit_kronecker
 from netloom.plans.graph import PropertyGraph
@@ -97,6 +99,79 @@ def test_kronecker_fit_raises_the_likelihood(spark):
     assert after > before
 
 
+def test_kronecker_fit_walks_in_full_each_iteration(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    edges = np.unique(np.concatenate([r.integers(0, 20, (60, 2)), [[3, 3]]]), axis=0)
+    theta = np.array([[0.9, 0.6], [0.5, 0.2]])
+
+    def brute(place, k):
+        digits = np.array([[sum(((place[a] >> d) & 1) * 2 + ((place[b] >> d) & 1) == c for d in range(k)) for c in range(4)] for a, b in edges])
+        p = np.exp(digits @ np.log(theta).ravel())
+        s, s2 = theta.sum(), (theta**2).sum()
+        grad = -k * s ** (k - 1) - k * s2 ** (k - 1) * theta.ravel() + (1 + p + p * p) @ digits / theta.ravel()
+        return -(s**k) - 0.5 * s2**k + (np.log(p) + p + 0.5 * p * p).sum(), grad
+
+    one, all_ = (kronfit._Chain(edges, 20, theta, np.random.default_rng(5)) for _ in range(2))
+    states = []
+    for chain in (one, all_):
+        assert np.isclose(chain.value, brute(chain.place, chain.k)[0])
+    for _ in range(300):
+        one.walk(1)
+        states.append(brute(one.place, one.k))
+        assert np.isclose(one.value, states[-1][0]) and np.allclose(one.grad, states[-1][1])
+    assert len({round(v, 6) for v, _ in states}) > 20
+    start = list(all_.place)
+    monkeypatch.setattr(all_, "rng", _Recorded(np.random.default_rng(6)))
+    value, grad = all_.walk(300)
+    seen = _replay(all_, edges, start, brute)
+    assert np.isclose(value, np.mean([v for v, _ in seen])) and np.allclose(grad.ravel(), np.mean([g for _, g in seen], 0))
+
+    steps = []
+    monkeypatch.setattr(kronfit._Chain, "walk", lambda self, n, walk=kronfit._Chain.walk: (steps.append(n), walk(self, n))[1])
+    g = PropertyGraph.of_edges(spark.createDataFrame(edges.tolist(), "src long, dst long"))
+    fit_kronecker(g, iterations=3, warm_up=50, samples=70)
+    assert steps == [50, 70] * 3
+
+
+class _Recorded:
+    """A generator that keeps what it drew."""
+
+    def __init__(self, rng):
+        self.rng, self.drawn = rng, []
+
+    def integers(self, *args):
+        self.drawn.append(self.rng.integers(*args))
+        return self.drawn[-1]
+
+    def random(self, n):
+        self.drawn.append(self.rng.random(n))
+        return self.drawn[-1]
+
+
+def _replay(chain, edges, place, brute):
+    """Value and gradient after each step of a walk, from the numbers it drew."""
+    at, coin, ends, u = chain.rng.drawn
+    place, seen = list(place), []
+    for e, c, (i, j), x in zip(at, coin, ends, u, strict=True):
+        i, j = (i, j) if c < 0.2 else edges[e]
+        before = brute(place, chain.k)
+        place[i], place[j] = place[j], place[i]
+        after = brute(place, chain.k)
+        if i == j or not np.isin(edges, (i, j)).any() or np.log(x) > after[0] - before[0]:
+            place[i], place[j] = place[j], place[i]
+            after = before
+        seen.append(after)
+    return seen
+
+
+def test_kronecker_query_fits_with_the_defaults(monkeypatch):
+    given = {}
+    monkeypatch.setattr(kronfit, "fit_kronecker", lambda g, **kw: given.update(kw))
+    monkeypatch.setattr(queries, "_hops", lambda s, d: None)
+    queries.kronecker_fit(None, "")
+    assert set(given) <= {"seed"}
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "log").write_text("\n".join(LOG * 3) + "\n")
     p = str(tmp_path)
