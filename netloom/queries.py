@@ -127,13 +127,15 @@ QUERIES: dict[str, Query] = {
     "closeness": lambda s, d: _rounded(paths.closeness(g := _hops(s, d), _first(g)), "closeness"),
     "harmonic_closeness": lambda s, d: paths.harmonic_closeness(_hops(s, d)),
     "betweenness": lambda s, d: _rounded(paths.betweenness(_hops(s, d, sparse=True), 2), "bc"),
+    "betweenness_all": lambda s, d: _rounded(paths.betweenness(_hops(s, d), 2), "bc"),
     "isomorphism_cycle": lambda s, d: isomorphism.embeddings(_hops(s, d), [(1, 2), (2, 3), (3, 1)]),
     "isomorphism_path": lambda s, d: isomorphism.embeddings(_hops(s, d, sparse=True), [(1, 2), (2, 3)]),
+    "isomorphism_path_all": lambda s, d: isomorphism.embeddings(_hops(s, d), [(1, 2), (2, 3)]),
     "isomorphism_rows": lambda s, d: isomorphism.subgraph_isomorphism(_hops(s, d), [(1, 2), (2, 3), (3, 1)]),
     "degree_veracity": lambda s, d: _rounded(veracity.degree_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")), "veracity", 9),
     "in_degree_veracity": lambda s, d: _rounded(veracity.in_degree_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")), "veracity", 9),
     "out_degree_veracity": lambda s, d: _rounded(veracity.out_degree_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")), "veracity", 9),
-    "pagerank_veracity": lambda s, d: veracity.pagerank_veracity(_hops(s, d), _hops(s, d, sparse=True)),
+    "pagerank_veracity": lambda s, d: veracity.pagerank_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")),
     "conn_log": lambda s, d: parse_lines(log_lines(s, d)),
     "edges_as_text": lambda s, d: edges_as_text(flows(s, d).select("src", "dst")),
     "kronecker_links": lambda s, d: synthesis.kronecker_links(s, MATRIX, 8, SEED),

@@ -28,3 +28,25 @@ def test_query(spark, db, name):
     assert sorted(theirs.columns) == columns
     got = sorted(tuple(map(str, r)) for r in ours.select(*columns).collect())
     assert got == sorted(tuple(map(str, r)) for r in theirs.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+def test_queries_over_all_hops(spark):
+    links = {(r.src, r.dst) for r in Q.QUERIES["hops_view"](spark, DATA).collect()}
+    simple = {(a, b) for a, b in links if a != b}
+    near = {v: {b for a, b in simple | {(b, a) for a, b in simple} if a == v} for e in links for v in e}
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        for t in near:
+            middle = near[s] & near[t]
+            if s != t and t not in near[s]:
+                for v in middle:
+                    want[v] += 1 / len(middle)
+    got = {r.id: r.bc for r in Q.QUERIES["betweenness_all"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-5 for v in want)
+    paths = sorted(tuple(r[f"p{k}"] for k in (1, 2, 3)) for r in Q.QUERIES["isomorphism_path_all"](spark, DATA).collect())
+    assert paths == sorted((a, b, d) for a, b in simple for c, d in simple if b == c and a != d)
+
+
+def test_pagerank_veracity_reads_no_subset_by_id(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_hops", None)
+    assert Q.QUERIES["pagerank_veracity"](spark, DATA).first()[0] > 0
