@@ -5,8 +5,9 @@ different contexts (counted by the word before them, so that copies of one text
 once) and hardly in clean ones. At most ``MAX_TERMS`` terms are kept.
 
 Matching. A text's word is turned into a Levenshtein automaton that walks the lexicon
-trie: whole-word terms of five letters or more match with one edit, shorter ones and
-beginnings exactly. A worker remembers the words it has met.
+trie: whole-word terms of four letters or more match with one edit, also those that
+start with a chosen beginning; shorter ones and beginnings match exactly. A worker
+remembers the words it has met.
 
 Scoring. A match inside quotation marks counts as quoted, else as used; the window of
 words around it adds its neighbours that match too. A logistic regression
@@ -39,6 +40,7 @@ MAX_TERMS = 2_000
 WINDOW = 8
 CACHE = 400_000
 MIN_CONTEXTS, MIN_ODDS = 6, 2.5
+LEAST = 4  # letters of a term that matches with an edit
 _WORD = re.compile(r"\w+|[\"«»„“”‹›]")
 _OPEN, _CLOSE = set("«„“‹\""), set("»”“›\"")
 
@@ -132,8 +134,8 @@ class Matcher:
     def __init__(self, terms: list[Term]):
         self.trie = Trie.of(terms)
         whole = {t for t, beginning, _ in terms if not beginning}
-        long = {t for t in whole if len(t) >= 5}
-        self.heads = {t for t, beginning, _ in terms if beginning} | {t for t in whole if len(t) < 5} | {t[: len(t) // 2] for t in long}
+        long = {t for t in whole if len(t) >= LEAST}
+        self.heads = {t for t, beginning, _ in terms if beginning} | {t for t in whole if len(t) < LEAST} | {t[: len(t) // 2] for t in long}
         self.tails = {t[len(t) // 2 :] for t in long}
         self.head_sizes, self.tail_sizes = sorted({len(t) for t in self.heads}), sorted({len(t) for t in self.tails})
         self.new: dict[str, tuple[float, float]] = {}
@@ -150,7 +152,7 @@ class Matcher:
             found = old.get(w)
             if found is None:
                 maybe = any(w[:k] in heads for k in head_sizes) or any(w[-k:] in tails for k in tail_sizes)
-                found = match(w) if maybe else _NONE
+                found = match(w, least=LEAST) if maybe else _NONE
                 if found == _NONE:
                     found = _NONE
             new[w] = found
@@ -245,9 +247,7 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     both = whole.select("term", "t", "c", F.lit(False).alias("beginning")).unionByName(starts.select("term", "t", "c", F.lit(True).alias("beginning")))
     terms = [(r["term"], r["beginning"], r["odds"]) for r in both.withColumn("odds", odds).orderBy(F.desc("t"), "term", "beginning").limit(MAX_TERMS).collect()]
     per_word.unpersist()
-    beginnings = {t for t, b, _ in terms if b}
-    covered = lambda t: any(t[:k] in beginnings for k in range(3, len(t) + 1))
-    return [x for x in terms if x[1] or not covered(x[0])]
+    return terms
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:

@@ -370,6 +370,23 @@ def test_toxicity(spark, none):
     assert alone < 0.01
 
 
+def test_misspelt_terms_of_many_forms_and_of_four_letters(spark):
+    r, forms = random.Random(8), ["idiot", "idiotic", "idiots", "idiotin", "idioten", "idiotka"]
+    vocab = ["".join(r.choice("abcefg") for _ in range(7)) for _ in range(300)]
+    rows = []
+    for i in range(240):
+        w = [r.choice(vocab) for _ in range(40)]
+        for x in [*forms, "scum"] if i % 3 == 0 else []:
+            w.insert(r.randrange(40), x)
+        rows.append((" ".join(w), int(i % 3 == 0)))
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {"idi", "idiot"} & {t for t, beginning, _ in terms if beginning}
+    m = toxicity.Matcher(terms)
+    for w in ("ldiotic", "1diots", "iddiot", "ldiot", "skum", "scumm", "scu", "xcum"):
+        assert m.weights([w])[0][1] > 0, w
+    assert m.weights(["idiotesque"])[0][0] > 0 and m.weights(["ldiotesque", "skumm"]) == [(0.0, 0.0)] * 2
+
+
 def test_quotation_lowers_the_weight():
     m = toxicity.Matcher([("grubble", False, 5.0)])
     used, cited = m.features("you grubble you"), m.features('they said "grubble" once')
