@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -329,6 +330,27 @@ def test_chat_keeps_content_and_other_fields(spark):
     assert got[1] == '{"content":null,"own":{"role":"server"},"result":{"k":null},"role":"tool","tool_call_id":"a","turn":1}'
 
 
+def test_chat_links_and_validates_as_brute_force(spark):
+    r, schemas = random.Random(9), {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}}
+    rows, calls, answers = [], {}, collections.defaultdict(set)
+    for conv in range(30):
+        for turn in range(12):
+            if turn % 2:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": (i := f"c{r.randrange(14)}"), "content": turn})))
+                answers[conv].add(i)
+            else:
+                made = [{"id": f"c{r.randrange(14)}", "name": r.choice("fg"), "arguments": r.choice([{"x": 1}, {"x": "1"}, {}, {"x": True}])} for _ in range(r.randrange(4))]
+                calls[conv, turn] = made
+                rows.append((conv, turn, "assistant", json.dumps({"content": "c", "tool_calls": made})))
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), schemas).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        made = calls.get((x.conv_id, x.turn), [])
+        bad = sum(c["name"] == "f" and c["arguments"] != {"x": 1} or c["name"] == "f" and c["arguments"]["x"] is True for c in made)
+        assert (x.n_calls, x.n_linked, x.n_invalid) == (len(made), sum(c["id"] in answers[x.conv_id] for c in made), bad)
+    assert sum(x.n_linked for x in got) and sum(x.n_invalid for x in got)
+
+
 def test_levenshtein_automaton():
     r = random.Random(6)
 
