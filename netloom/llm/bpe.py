@@ -7,9 +7,9 @@ O(n log n), also for one word of a megabyte.
 
 The rest follows the vocabulary file: special tokens are cut out first, then NFC,
 lower case, a split into pieces, and bytes as printable characters with ``</w>`` at a
-piece's end. As no piece spans white space, words are encoded one by one; a worker
-remembers the words and pieces it has met (two generations of ``CACHE`` of each; what
-is forgotten is encoded again).
+piece's end. A file that asks for anything else is refused. As no piece spans white
+space, words are encoded one by one; a task remembers the words and pieces it has met,
+in about ``CACHE`` bytes (what is forgotten is encoded again).
 
 Edge cases: null or blank texts have no tokens and decode to the empty text; repeated
 rows are encoded alike; an empty table gives an empty table.
@@ -21,7 +21,7 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import pairwise
 from struct import pack
 
@@ -33,9 +33,19 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import map_arrow, text_bytes
 
-CACHE = 400_000
+CACHE = 96 << 20
 _NONE = 1 << 62
-#: Fixed by the vocabulary file: how it splits a normalised text.
+#: Fixed by the vocabulary file: how it normalises and splits a text, and that ids are decoded to their tokens with spaces between.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The split, with white space as the library has it.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -70,28 +80,66 @@ class PairTree:
             node[i] = key = low
 
 
+def checked(spec: str | bytes) -> dict:
+    """The vocabulary file's contents, if it works as this module does; else an error."""
+    data = json.loads(spec)
+    model = data["model"]
+    wanted = {
+        "normalizer": (data.get("normalizer"), _NORMALIZER),
+        "pre_tokenizer": (data.get("pre_tokenizer"), _PRE_TOKENIZER),
+        "decoder": (data.get("decoder"), None),
+        "model type": (model.get("type"), "BPE"),
+        **{k: (model.get(k) or None, None) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")},
+        **{f"added token {t['content']}": (t["content"][:2] == "<|" and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]), True) for t in data["added_tokens"]},
+    }
+    if odd := [k for k, (has, want) in wanted.items() if has != want]:
+        raise ValueError(f"this vocabulary file can't be used: {', '.join(odd)} differ from what is built in")
+    return data
+
+
+class Memory:
+    """What has been met lately, in about ``most`` bytes: two generations, the older of which is forgotten."""
+
+    __slots__ = ("most", "held", "new", "old")
+
+    def __init__(self, most: int):
+        self.most, self.held, self.new, self.old = most // 2, 0, {}, {}
+
+    def get(self, key):
+        hit = self.old.get(key)
+        if hit is not None:
+            self.put(key, hit)
+        return hit
+
+    def put(self, key, value: bytes) -> None:
+        self.new[key] = value
+        self.held += len(key) + len(value) + 180  # two objects and their place
+        if self.held >= self.most:
+            self.old, self.new, self.held = self.new, {}, 0
+
+
 class Bpe:
     def __init__(self, spec: str | bytes, cache: int = CACHE):
-        self.cache = cache
-        data = json.loads(spec)
+        data = checked(spec)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.special: dict[str, int] = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token = {i: t.encode() for t, i in self.vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         #: pair of ids (left * 2**24 + right) -> rank * 2**32; rank -> merged id
         self.rank: dict[int, int] = {}
-        self.merged: list[int] = []
+        self.merged = array("I")
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault(self.vocab[a] << 24 | self.vocab[b], rank << 32)
             self.merged.append(self.vocab[a + b])
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        #: symbols of each byte inside a piece, and at its end; None where the vocabulary lacks it
+        self.inner = [self.vocab.get(c) for c in alphabet]
+        self.last = [self.vocab.get(c + self.end) for c in alphabet]
+        del self.vocab
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.new: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
-        self.new_pieces: dict[str, array] = {}
-        self.old_pieces: dict[str, array] = {}
+        self.known, self.pieces = Memory(cache * 2 // 3), Memory(cache // 3)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost among equals, until none applies."""
@@ -120,65 +168,55 @@ class Bpe:
                 put(h, r | h if (r := rank(symbols[h] << 24 | s)) is not None else _NONE)
         return [s for s in symbols if s >= 0]
 
-    def piece(self, piece: str) -> array:
-        hit = self.new_pieces.get(piece)
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece as little-endian 32-bit numbers."""
+        hit = self.pieces.new.get(piece) or self.pieces.get(piece)
         if hit is None:
-            hit = self.old_pieces.get(piece)
-            if hit is None:
-                alphabet, vocab = self.alphabet, self.vocab
-                chars = [alphabet[b] for b in piece.encode()]
-                chars[-1] += self.end
-                hit = array("I", self.merge([vocab[c] for c in chars if c in vocab]))
-            self.new_pieces[piece] = hit
-            if len(self.new_pieces) >= self.cache:
-                self.old_pieces, self.new_pieces = self.new_pieces, {}
+            raw, inner = piece.encode(), self.inner
+            symbols = [inner[b] for b in raw]
+            symbols[-1] = self.last[raw[-1]]
+            ids = self.merge([s for s in symbols if s is not None])
+            hit = pack(f"<{len(ids)}I", *ids)
+            self.pieces.put(piece, hit)
         return hit
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
+    def word(self, word: str) -> bytes:
+        out = []
+        for part in self.cut.split(word) if self.cut else [word]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(pack("<I", self.special[part]))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-            for piece in _PIECES.findall(part):
-                out += self.piece(piece)
-        return out
-
-    def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.token[i] for i in ids if i in self.token)
+            out += [self.piece(p) for p in _PIECES.findall(part)]
+        return b"".join(out)
 
-    def words(self, text: bytes) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit numbers, their decoded text) of each word with tokens.
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers.
 
         The vocabulary lower-cases all but special tokens, which start with ``<|``.
         """
-        new, old, found = self.new, self.old, []
+        memory, out = self.known, []
+        new = memory.new
         for w in (text if b"<|" in text else text.lower()).split():
             hit = new.get(w)
             if hit is None:
-                hit = old.get(w)
+                hit = memory.get(w)
                 if hit is None:
-                    ids = self.encode(w.decode())
-                    hit = (pack(f"<{len(ids)}I", *ids), self.decode(ids).encode())
-                new[w] = hit
-                if len(new) >= self.cache:
-                    self.old, self.new = old, new = new, {}
-            found.append(hit)
-        return [x for x in found if x[0]]
-
-
-_LOADED: dict[str, Bpe] = {}
-
+                    hit = self.word(w.decode())
+                    memory.put(w, hit)
+                new = memory.new
+            out.append(hit)
+        return b"".join(out)
 
-def loaded(spec: bytes, cache: int = CACHE) -> Bpe:
-    """One per worker process, so that what it remembers outlives a task."""
-    key = f"{hashlib.sha256(spec).hexdigest()} {cache}"
-    if key not in _LOADED:
-        _LOADED[key] = Bpe(spec, cache)
-    return _LOADED[key]
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """The tokens of ids that the vocabulary has, with spaces between."""
+        token = self.token
+        try:
+            return b" ".join([token[i] for i in ids])
+        except KeyError:
+            return b" ".join([token[i] for i in ids if i in token])
 
 
 def read_spec(path: str | None = None) -> bytes:
@@ -191,48 +229,51 @@ def read_spec(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_bpe(rows: DataFrame, path: str | None, cache: int, fn: Callable[[pa.RecordBatch, Bpe], pa.RecordBatch], ddl: str) -> DataFrame:
+    """``map_arrow`` with an encoder for each task, which is forgotten when the task ends."""
+    spec = rows.sparkSession.sparkContext.broadcast(read_spec(path))
+    return map_arrow(rows, fn, ddl, lambda: Bpe(spec.value, cache))
+
+
+def _rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """(doc_id, ids array<int>) for every row."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = loaded(spec.value)
-        rows = [np.frombuffer(b"".join([x[0] for x in bpe.words(t)]), "<u4") for t in text_bytes(b.column(1))]
+    def batch(b: pa.RecordBatch, bpe: Bpe) -> pa.RecordBatch:
+        rows = [np.frombuffer(bpe.encode(t), "<u4") for t in text_bytes(b.column(1))]
         ends = np.cumsum([0, *map(len, rows)])
         values = np.concatenate(rows).astype("i4") if rows else np.empty(0, "i4")
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), batch, "doc_id long, ids array<int>")
+    return _with_bpe(_rows(docs, id_col, text_col), path, cache, batch, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids)."""
-    spec = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
+    """(doc_id, text) of (doc_id, ids); null ids decode to the empty text."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = loaded(spec.value)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+    def batch(b: pa.RecordBatch, bpe: Bpe) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or ()).decode() for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return map_arrow(encoded.select("doc_id", "ids"), batch, "doc_id long, text string")
+    return _with_bpe(encoded.select("doc_id", "ids"), path, 0, batch, "doc_id long, text string")
 
 
 def bpe_digest(docs: DataFrame, path: str | None = None, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded again, in one pass.
 
-    ``cache`` bounds what a worker remembers, also after its tasks; it changes memory
-    (about a kilobyte for each) and time, never results.
+    ``cache`` bounds the bytes that a task remembers; it changes memory and time, never
+    results.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, n, ids, back = loaded(spec.value, cache), [], [], []
+    def batch(b: pa.RecordBatch, bpe: Bpe) -> pa.RecordBatch:
+        n, ids, back = [], [], []
         for t in text_bytes(b.column(1)):
-            found = bpe.words(t)
-            raw = b"".join([x[0] for x in found])
+            raw = bpe.encode(t)
             n.append(len(raw) // 4)
             ids.append(hashlib.sha256(raw).hexdigest())
-            back.append(hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest())
+            back.append(hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4").tolist())).hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return map_arrow(rows, batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _with_bpe(_rows(docs), path, cache, batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

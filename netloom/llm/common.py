@@ -12,26 +12,36 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What an operator takes of an Arrow batch at a time; longer texts come alone.
+SLICE_BYTES = 4 << 20
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (a local session,
-    as in tests) is a temporary folder made and set.
+    ``spark.checkpoint.dir`` names it. Only where that is unset in a local session, as
+    in tests, is a temporary folder made and set; on a cluster that is an error, as
+    executors would write to disks of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-"))
             current = spark.sparkContext.getCheckpointDir()
         folder = current
@@ -54,10 +64,23 @@ def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what :func:`shared_table` has written for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/netloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_dir(spark)}/netloom/{spark.sparkContext.applicationId}")
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`shared_table` that nothing will read any more."""
+    spark = df.sparkSession
+    own = f"{scratch_dir(spark)}/netloom/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if own.split("://")[-1].lstrip("/") in folder:
+            _delete(spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,22 +96,66 @@ def spark_schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of at most ``most`` bytes, or of one row."""
+    n = batch.num_rows
+    if n < 2 or batch.nbytes <= most:
+        yield batch
+    else:
+        yield from slices(batch.slice(0, n // 2), most)
+        yield from slices(batch.slice(n // 2), most)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers outlive their tasks, and the next stage gets others as well."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], ddl: str, start: Callable[[], object] | None = None) -> DataFrame:
-    """``mapInArrow`` with one function per batch; ``start`` runs once per task and its value is passed on."""
+    """``mapInArrow`` with one function per slice of a batch; ``start`` runs once per task and its value is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
         for batch in batches:
-            out = fn(batch, state) if start else fn(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for part in slices(batch):
+                out = fn(part, state) if start else fn(part)
+                if out is not None and out.num_rows:
+                    yield out
+        state = part = batch = out = None
+        give_back()
 
     return df.mapInArrow(run, spark_schema(ddl))
 
 
-def lower_ascii(column: str):
-    """Lower-case A-Z only, in SQL functions."""
-    return F.translate(F.coalesce(F.col(column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def packed(df: DataFrame, **columns: Column) -> tuple[DataFrame, str]:
+    """``df``'s columns in one struct under a name of its own, beside ``columns``; and that name.
+
+    An operator can then add columns of any name; :func:`unpacked` gives the caller's back.
+    """
+    name = f"row_{uuid.uuid4().hex}"
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), *[c.alias(k) for k, c in columns.items()]), name
+
+
+def unpacked(df: DataFrame, name: str, columns: list[str], **changed: Column) -> DataFrame:
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(f"{name}.`{c}`").alias(c) for c in columns])
+
+
+def skew_join(rows: DataFrame, side: DataFrame, key: str | list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has each key once, with its number of rows in ``weight``.
+
+    Keys with more than a thousandth of all rows, a thousand keys at most, are
+    broadcast, so that their rows stay where they are; all others meet in a shuffle.
+    ``side`` is read three times and should be a written table.
+    """
+    limit = max(1000, (side.agg(F.sum(weight)).first()[0] or 0) // 1000)
+    if not side.where(F.col(weight) > limit).limit(1).count():
+        return rows.join(side, key)
+    hot = F.broadcast(side.where(F.col(weight) > limit))
+    cold = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(side.where(F.col(weight) <= limit), key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
