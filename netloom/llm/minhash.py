@@ -29,14 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import map_arrow, shared_table, shuffle_partitions, spark_schema, text_bytes
+from netloom.llm.common import map_arrow, packed, shared_table, shuffle_partitions, skew_join, spark_schema, text_bytes, unpacked
 from netloom.llm.components import components
 
 BINS, ROWS, BANDS = 256, 5, 48
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000  # of nodes and of their shingles, about
 WORDS = 5
 _ORDER = np.argsort(np.random.default_rng(20).random((BINS, BINS)), axis=1).argsort(axis=1).astype("u1")  # rank of each bin for each empty bin
 _ODD = (np.random.default_rng(21).integers(1, 1 << 62, ROWS, dtype="u8") << np.uint64(1)) | np.uint64(1)
@@ -44,7 +44,7 @@ _ODD = (np.random.default_rng(21).integers(1, 1 << 62, ROWS, dtype="u8") << np.u
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -118,8 +118,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 def star_edges(nodes: DataFrame) -> DataFrame:
     """(a, b): each node of a bucket with the bucket's smallest node. nodes: (k, bands)."""
     rows = nodes.select("k", F.explode("bands").alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min("k").alias("star"), F.count("*").alias("size")).where("size > 1").select("bucket", "star")
-    return rows.join(stars, "bucket").where("k <> star").select(F.col("k").alias("a"), F.col("star").alias("b")).distinct()
+    stars = shared_table(rows.groupBy("bucket").agg(F.min("k").alias("star"), F.count("*").alias("size")).where("size > 1"), "stars")
+    return skew_join(rows, stars, "bucket", "size").where("k <> star").select(F.col("k").alias("a"), F.col("star").alias("b")).distinct()
 
 
 def links_between(sizes: np.ndarray, tokens: np.ndarray, owners: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -192,8 +192,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) links that connect what is linked in each cluster. members: (cluster, k, n, shingles binary)."""
     spark = members.sparkSession
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
-    placed = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
+    sizes = shared_table(members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles_in")), "sizes")
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("shingles_in") / F.lit(BLOCK_SHINGLES))).cast("int")
+    placed = skew_join(members, sizes, "cluster", "members").withColumn("blocks", F.least(F.col("members"), blocks).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("k", F.lit(7)), F.col("blocks")).cast("int"))
     # a node meets each block of its cluster once, in the task of the two blocks
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -220,39 +221,60 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
     return met.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task").mapInArrow(run, spark_schema("a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; linked if 100 * common >= percent * union."""
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, k, root, component_id) for every row; root tells its component, null for an empty set."""
     rows = shared_table(sketches(docs), "sketches")
-    nodes = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"))
+    # rows of one set have one size and one list of bands
+    nodes = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     nodes = shared_table(nodes, "nodes")
-    turn = F.row_number().over(Window.partitionBy("k").orderBy("doc_id"))
-    one = rows.where("k is not null").select("k", "doc_id", "bands").join(nodes.select("k", "label"), "k").where(F.col("doc_id").eqNullSafe(F.col("label")))
-    one = one.withColumn("turn", turn).where("turn = 1").select("k", "bands")
-    clusters = shared_table(components(star_edges(one)).withColumnRenamed("node", "k").withColumnRenamed("root", "cluster"), "clusters")
+    clusters = shared_table(components(star_edges(nodes.select("k", "bands"))).withColumnRenamed("node", "k").withColumnRenamed("root", "cluster"), "clusters")
 
     def sets(b: pa.RecordBatch, hashes: _Hashes) -> pa.RecordBatch:
         found = [shingles(t, hashes) for t in text_bytes(b.column(1))]
         return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["k", "n", "shingles"])
 
     wanted = clusters.join(nodes, "k").select("k", "cluster", "label")
-    ids = wanted.select(F.col("label").alias("__label")).distinct()
-    some = _rows(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("__label")), "left_semi")
+    ids = wanted.select(F.col("label").alias("wanted_id")).distinct()
+    some = _rows(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     full = map_arrow(some, sets, "k binary, n long, shingles binary", _Hashes).dropDuplicates(["k"])
     members = shared_table(full.join(wanted.select("k", "cluster"), "k"), "members")
-    found = components(exact_links(members, percent))
-    best = found.join(nodes, found.node == nodes.k).groupBy("root").agg(F.min("label").alias("component_id"))
-    of = found.join(best, "root").select(F.col("node").alias("k"), "component_id")
-    by_node = shared_table(nodes.join(of, "k", "left").select("k", F.coalesce("component_id", "label").alias("component_id")), "labels")
-    some = rows.where("k is not null").select("doc_id", "n", "k").join(by_node, "k")
-    none = rows.where("k is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = some.select("doc_id", "n", "component_id").unionByName(none)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    found = shared_table(components(exact_links(members, percent)), "found")
+    best = shared_table(found.join(nodes, found.node == nodes.k).groupBy("root").agg(F.min("label").alias("component_id"), F.count("*").alias("size")), "best")
+    of = skew_join(found, best, "root", "size").select(F.col("node").alias("k"), "root", "component_id")
+    by_node = shared_table(nodes.join(of, "k", "left").select("k", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("component_id", "label").alias("component_id")), "labels")
+    some = skew_join(rows.where("k is not null").select("doc_id", "n", "k"), by_node, "k", "copies").select("doc_id", "n", "k", "root", "component_id")
+    none = rows.where("k is null").select("doc_id", "n", "k", F.col("k").alias("root"), F.col("doc_id").alias("component_id"))
+    return some.unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; linked if 100 * common >= percent * union."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return _labelled(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each group of near-duplicates, with its columns; rows with a null id stay.
 
-    Of rows that repeat the kept id, one with the kept text's shingles stays.
+    The row with the group's smallest id stays. Where rows repeat an id, each is judged
+    by its own text: those with another group's text stay or go with that group, and of
+    several of one group one stays. Rows without words are linked with nothing and stay.
     """
-    out = near_duplicates(docs, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    of = shared_table(_labelled(docs, percent).select("doc_id", "k", "root", "component_id"), "labelled").where("doc_id is not null")
+    gone = of.where("k is not null and doc_id <> component_id")
+    repeated = shared_table(of.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"), "repeated")
+    rows, row = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
+    if repeated.isEmpty():
+        return unpacked(rows.join(gone.select("doc_id").distinct(), "doc_id", "left_anti"), row, docs.columns)
+    once = rows.join(repeated, "doc_id", "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti").select(row)
+
+    # rows of a repeated id: their own sets tell which of them go
+    def keys(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t, _Hashes()) for t in text_bytes(b.column(1))]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) if len(s) else None for s in found], pa.binary())], ["at", "k"])
+
+    twice = shared_table(rows.join(repeated, "doc_id", "left_semi").withColumn("at", F.monotonically_increasing_id()), "twice")
+    own = twice.select("at", "doc_id").join(map_arrow(twice.select("at", "text"), keys, "at long, k binary"), "at")
+    judged = own.join(of.where("k is not null").select("doc_id", "k", "root", "component_id").distinct(), ["doc_id", "k"]).where("doc_id = component_id")
+    stay = judged.groupBy("doc_id", "root").agg(F.min("at").alias("at")).select("at").unionByName(own.where("k is null").select("at"))
+    return unpacked(once.unionByName(twice.join(stay, "at", "left_semi").select(row)), row, docs.columns)
