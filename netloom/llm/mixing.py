@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import map_arrow, shared_table, shuffle_partitions, text_bytes
+from netloom.llm.common import map_arrow, packed, shared_table, shuffle_partitions, text_bytes, unpacked
 
 BUCKETS = 1024
 
@@ -109,9 +109,11 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     """
     taken = mix(docs, weights, share, max_epochs, seed, with_source=True)
     taken = taken.groupBy("doc_id", "source").agg(F.max(F.struct("taken", "size")).alias("x")).where("x.taken > 0 and x.size > 0")
-    times = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), (F.col("x.taken") / F.col("x.size")).alias("__times"), F.pmod("x.taken", "x.size").alias("__rest"))
-    rows = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil("__times").cast("int"))))
-    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    cut = F.when(F.col("__copy") > F.col("__times"), F.array_join(F.slice(words, F.lit(1), F.col("__rest").cast("int")), " ")).otherwise(F.col("text"))
-    return rows.withColumn("text", cut).select(*docs.columns)
+    times = taken.select(F.col("doc_id").alias("at_id"), F.col("source").alias("at_source"), (F.col("x.taken") / F.col("x.size")).alias("times"), F.pmod("x.taken", "x.size").alias("rest"))
+    rows, row = packed(docs, own_id=F.col("doc_id").cast("long"), own_source=F.col("source").cast("string"))
+    rows = rows.join(times, F.col("own_id").eqNullSafe(F.col("at_id")) & F.col("own_source").eqNullSafe(F.col("at_source")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil("times").cast("int"))))
+    text = F.col(f"{row}.text")
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    cut = F.when(F.col("copy") > F.col("times"), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(text)
+    return unpacked(rows, row, docs.columns, text=cut)

@@ -7,7 +7,8 @@ ablated without reading a text again.
 
 Edge cases: a null text has no words (and fails ``few_words``); runs of white space
 only give no words; repeated rows are judged alike; an empty table gives an empty
-table. Windows are told apart by a 64-bit hash within one text.
+table. Windows are told apart by a 64-bit hash within one text. ``quality_filter`` gives
+the caller's columns back as they were, also ones named like the ledger's.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import packed, unpacked
+
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds a struct ``q`` of measurements to ``docs``; every column stays.
+    """Adds a struct ``q`` of measurements to ``docs``, whose other columns stay.
 
     q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_caps,
     n_marks (all long).
@@ -144,5 +147,6 @@ def quality_filter(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     The row number keeps the optimizer from moving the filter below the ledger, where
     every use of a measurement would evaluate it anew.
     """
-    rows = ledger(docs).withColumn("__row", F.monotonically_increasing_id())
-    return rows.where(passes(policy) & (F.col("__row") >= 0)).select(*docs.columns)
+    rows, row = packed(docs, text=F.col("text"))
+    rows = ledger(rows).withColumn("number", F.monotonically_increasing_id())
+    return unpacked(rows.where(passes(policy) & (F.col("number") >= 0)), row, docs.columns)
