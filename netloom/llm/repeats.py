@@ -11,8 +11,14 @@ comes once in the corpus holds no repeat and is dropped; nothing else is.
 Judging. Runs of one minimizer go to one shard with their bytes, runs of equal bytes
 once, with their count. A shard's suffix array is sorted by induction and its permuted
 common prefixes tell which neighbours share LENGTH bytes. A minimizer of very many
-different runs is cut in blocks of ``BLOCK`` runs, each two of which meet in a shard,
-so no shard grows with the corpus and no run is left out.
+different runs is cut in blocks of about ``BLOCK`` runs and ``BLOCK_BYTES``, each two of
+which meet in a shard, so no shard grows with the corpus and no run is left out. Runs are
+equal if their lengths, minimizers and 128-bit hashes are.
+
+Passages. LENGTH bytes are some 60 words or more, so a shorter passage stays. Beside the
+removal, documents are marked that share a passage with another: by winnowing, a mark is
+sure where ``PASSAGE`` words in a row come in two documents, and stands nowhere that fewer
+than ``NOISE`` do (A-Z lower-cased, one kind of white space).
 
 Edge cases: null texts are empty; texts shorter than LENGTH lose nothing; a row is
 told by its id and a 64-bit hash of its text, so rows that repeat both are copies of
@@ -31,16 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import map_arrow, shared_table, shuffle_partitions, spark_schema, text_bytes
+from netloom.llm.common import drop_table, give_back, map_arrow, shared_table, shuffle_partitions, skew_join, spark_schema, text_bytes
 from netloom.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 64
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 2048, 8_000_000
+PASSAGE, NOISE = 50, 40
 SHARD_BYTES = 2_000_000
 _STEP = 1 << 20
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ONES = 0xFFFFFFFFFFFFFFFF
+_TOP = np.uint64(_ONES)
 
 
 def text_key(text: bytes) -> int:
@@ -85,10 +93,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def all_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, tk, h, c, times, lo, hi) of every run; c is a hash of the run's bytes."""
+    """(doc_id, tk, h, c, d, times, lo, hi) of every run; c and d are a 128-bit hash of the run's bytes."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: list[list[int]] = [[], [], [], [], [], []]
+        out: list[list[int]] = [[], [], [], [], [], [], []]
         index = []
         for k, t in enumerate(text_bytes(b.column(1))):
             if len(t) < length:
@@ -96,11 +104,12 @@ def all_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             tk = text_key(t)
             for value, times, lo, hi in runs_of(t, length):
                 index.append(k)
-                for column, x in zip(out, (tk, value - (1 << 63), text_key(t[lo : hi + length]), times, lo, hi), strict=True):
+                wide = xxhash.xxh3_128_intdigest(t[lo : hi + length])
+                for column, x in zip(out, (tk, value - (1 << 63), (wide >> 64) - (1 << 63), (wide & _ONES) - (1 << 63), times, lo, hi), strict=True):
                     column.append(x)
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(index, pa.int64())), *[pa.array(x, pa.int64()) for x in out]], ["doc_id", "tk", "h", "c", "times", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(index, pa.int64())), *[pa.array(x, pa.int64()) for x in out]], ["doc_id", "tk", "h", "c", "d", "times", "lo", "hi"])
 
-    return map_arrow(_rows(docs), batch, "doc_id long, tk long, h long, c long, times long, lo long, hi long")
+    return map_arrow(_rows(docs), batch, "doc_id long, tk long, h long, c long, d long, times long, lo long, hi long")
 
 
 def repeated_starts(runs: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -148,54 +157,121 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tk, lo, hi): spans [lo, hi) of bytes to remove; spans of a row may overlap."""
     spark = docs.sparkSession
     runs = shared_table(all_runs(docs, length), "runs")
-    often = runs.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
-    some = shared_table(runs.join(often, "h"), "candidates")
-    kinds = some.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("at"))
-    kinds = shared_table(kinds.select("h", "c", "n", "at.*"), "kinds")
-    whole = some.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "tk", "lo", (F.col("hi") + length).alias("hi"))
+    often = runs.groupBy("h").agg(F.sum("times").alias("n"), F.count("*").alias("rows")).where("n > 1").select("h", "rows")
+    some = shared_table(skew_join(runs, shared_table(often, "often"), "h", "rows").drop("rows"), "candidates")
+    drop_table(runs)
+    kind = ["h", "c", "d"]
+    kinds = some.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("at"))
+    kinds = shared_table(kinds.select(*kind, "n", "at.*"), "kinds")
+    whole = skew_join(some, kinds.where("n > 1").select(*kind, "n"), kind, "n").select("doc_id", "tk", "lo", (F.col("hi") + length).alias("hi"))
 
     # runs to judge: those that come once, with one of each other kind of their minimizer
     open_ = kinds.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("kinds"), F.sum(F.col("hi") - F.col("lo") + length).alias("bytes")).where("least = 1")
-    judged = kinds.join(open_.select("h", "kinds"), "h")
+    open_ = shared_table(open_, "open")
+    judged = skew_join(kinds, open_.select("h", "kinds", F.col("bytes").alias("bytes_in")), "h", "kinds")
     size = open_.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, int(size // SHARD_BYTES))
-    blocks = F.ceil(F.col("kinds") / F.lit(BLOCK)).cast("int")
-    by_doc = judged.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "c", "n", "lo", "hi", blocks.alias("blocks"))).alias("wanted"))
+    blocks = F.ceil(F.greatest(F.col("kinds") / F.lit(BLOCK), F.col("bytes_in") / F.lit(BLOCK_BYTES)))
+    blocks = F.least(F.col("kinds"), blocks).cast("int")
+    by_doc = judged.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*kind, "n", "lo", "hi", blocks.alias("blocks"))).alias("wanted"))
     keyed = map_arrow(_rows(docs), lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_key(t) for t in text_bytes(b.column(1))], pa.int64())], ["doc_id", "text", "tk"]), "doc_id long, text string, tk long")
     keyed, wanted = keyed.alias("d"), by_doc.alias("w")
     texts = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tk") == F.col("w.tk"))).select("d.doc_id", "d.tk", "d.text", "w.wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tk", "h", "c", "n", "lo", "blocks", "data"]
+        names = ["doc_id", "tk", "h", "c", "d", "n", "lo", "blocks", "data"]
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part, rows = b.slice(at, 64), []
-                for d, tk, text, wanted in zip(*[part.column(k).to_pylist() if k != 2 else text_bytes(part.column(k)) for k in range(4)], strict=True):
-                    rows += [(d, tk, x["h"], x["c"], x["n"], x["lo"], x["blocks"], text[x["lo"] : x["hi"] + length]) for x in wanted]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:7]], pa.array(columns[7], pa.binary())], names)
-
-    pieces = texts.mapInArrow(cut, spark_schema("doc_id long, tk long, h long, c long, n long, lo long, blocks long, data binary"))
-    own = F.pmod(F.xxhash64("c"), F.col("blocks"))
+                for i, tk, text, wanted in zip(*[part.column(k).to_pylist() if k != 2 else text_bytes(part.column(k)) for k in range(4)], strict=True):
+                    rows += [(i, tk, x["h"], x["c"], x["d"], x["n"], x["lo"], x["blocks"], text[x["lo"] : x["hi"] + length]) for x in wanted]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:8]], pa.array(columns[8], pa.binary())], names)
+        give_back()
+
+    pieces = texts.mapInArrow(cut, spark_schema("doc_id long, tk long, h long, c long, d long, n long, lo long, blocks long, data binary"))
+    own = F.pmod(F.xxhash64("c", "d"), F.col("blocks"))
     met = pieces.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("h"), F.lit(shards))).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-    sharded = met.select(pair.alias("shard"), "doc_id", "tk", "h", "c", "n", "lo", "data")
+    sharded = met.select(pair.alias("shard"), "doc_id", "tk", *kind, "n", "lo", "data")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _shards(batches):
-            rows = list({(r["h"], r["c"]): r for r in rows}.values())  # a copy of a row brings its runs again
+            rows = list({(r["h"], r["c"], r["d"]): r for r in rows}.values())  # a copy of a row brings its runs again
             found = []
             for r, starts in zip(rows, repeated_starts([r["data"] for r in rows], [r["n"] for r in rows], length), strict=True):
                 if r["n"] == 1:
                     found += [(r["doc_id"], r["tk"], a, b) for a, b in spans_of(starts, r["lo"], length)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["doc_id", "tk", "lo", "hi"])
+        give_back()
 
     parts = max(shuffle_partitions(spark), 1)
     part = sharded.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, spark_schema("doc_id long, tk long, lo long, hi long"))
     return shared_table(whole.unionByName(part), "spans")
 
 
+class Winnow:
+    """Fingerprints of a text's strings of ``NOISE`` words: the smallest hash of every ``PASSAGE`` words in a row."""
+
+    STEP = 1 << 17  # words at a time, to bound memory
+
+    def __init__(self, passage: int = PASSAGE, noise: int = NOISE):
+        self.passage, self.noise = passage, noise
+        r = np.random.default_rng(23)
+        self.code = r.integers(1, 1 << 63, 256, dtype="u8")
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.code[self.space] = self.code[32]
+        self.code[65:91] = self.code[97:123]
+        self.base = 0x9E3779B97F4A7C15
+        self.power = self.inverse = np.ones(1, "u8")
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            size = 1 << n.bit_length()
+            steps = [np.full(size, x, "u8") for x in (self.base, pow(self.base, -1, 1 << 64))]
+            for s in steps:
+                s[0] = 1
+            with np.errstate(over="ignore"):
+                self.power, self.inverse = (np.multiply.accumulate(s) for s in steps)
+
+    def of(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, "u1")
+        gap = np.concatenate([[True], self.space[data], [True]])
+        start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        found = [np.zeros(0, "u8")]
+        for at in range(0, max(0, len(start) - self.passage + 1), self.STEP):
+            s, e = start[at : at + self.STEP + self.passage - 1], end[at : at + self.STEP + self.passage - 1]
+            first, size = int(s[0]), int(e[-1] - s[0])
+            self._powers(size + 1)
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(self.code[data[first : first + size]] * self.power[:size], dtype="u8")])
+                s, e = s - first, e - first
+                n = len(s) - self.noise + 1
+                h = (sums[e[self.noise - 1 :]] - sums[s[:n]]) * self.inverse[s[:n]]
+                h = (h ^ (h >> np.uint64(32))) * _MULTIPLIERS[1]
+                h ^= h >> np.uint64(29)
+            found.append(np.unique(window_minima(h, self.passage - self.noise + 1)))
+        return np.unique(np.concatenate(found))
+
+
+def shared_passages(docs: DataFrame, passage: int = PASSAGE, noise: int = NOISE) -> DataFrame:
+    """(doc_id, tk) of documents that share a passage with another row; see the module's text."""
+
+    def batch(b: pa.RecordBatch, winnow: Winnow) -> pa.RecordBatch | None:
+        texts = text_bytes(b.column(1))
+        marks = [winnow.of(t) for t in texts]
+        at = np.repeat(np.arange(len(texts)), [len(m) for m in marks])
+        keys = np.array([text_key(t) for t in texts], "i8")
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(keys[at]), pa.array(np.concatenate([*marks, np.zeros(0, "u8")]).view("i8"))], ["doc_id", "tk", "mark"])
+
+    marks = map_arrow(_rows(docs), batch, "doc_id long, tk long, mark long", lambda: Winnow(passage, noise))
+    marks = shared_table(marks, "marks")
+    often = shared_table(marks.groupBy("mark").agg(F.count("*").alias("rows")).where("rows > 1"), "often")
+    return skew_join(marks, often, "mark", "rows").select("doc_id", "tk").distinct()
+
+
 def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
     """Maximal removed spans, and the bytes that stay."""
     merged: list[list[int]] = []
@@ -211,10 +287,15 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int,
     return [(a, b) for a, b in merged], b"".join([*kept, text[at:]])
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = repeated_spans(docs, length).distinct().groupBy("doc_id", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).alias("s")
+def _with_spans(docs: DataFrame, length: int, passages: bool = False) -> DataFrame:
+    """(doc_id, text, spans, shares): shares is true for rows that share a passage, if asked for."""
+    found = repeated_spans(docs, length).distinct().withColumn("shares", F.lit(False))
+    if passages:
+        found = found.unionByName(shared_passages(docs).withColumn("shares", F.lit(True)), allowMissingColumns=True)
+    spans = F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi")))
+    spans = found.groupBy("doc_id", "tk").agg(spans.alias("spans"), F.max("shares").alias("shares")).alias("s")
     keyed = map_arrow(_rows(docs), lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_key(t) for t in text_bytes(b.column(1))], pa.int64())], ["doc_id", "text", "tk"]), "doc_id long, text string, tk long").alias("d")
-    return keyed.join(spans, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.tk") == F.col("s.tk")), "left").select("d.doc_id", "d.text", "s.spans")
+    return keyed.join(spans, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.tk") == F.col("s.tk")), "left").select("d.doc_id", "d.text", "s.spans", F.coalesce("s.shares", F.lit(False)).alias("shares"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -229,14 +310,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeats_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage for every row."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = text_bytes(b.column(1))
         done = [without(t, [(x["lo"], x["hi"]) for x in s or ()]) for t, s in zip(texts, b.column(2).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(d[1]) for t, d in zip(texts, done, strict=True)], pa.int64()), pa.array([len(d[0]) for d in done], pa.int64()), pa.array([hashlib.sha256(d[1]).hexdigest() for d in done], pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(d[1]) for t, d in zip(texts, done, strict=True)], pa.int64()), pa.array([len(d[0]) for d in done], pa.int64()), pa.array([hashlib.sha256(d[1]).hexdigest() for d in done], pa.string()), b.column(3)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"],
         )
 
-    return map_arrow(_with_spans(docs, length), batch, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(_with_spans(docs, length, passages=True), batch, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean")
