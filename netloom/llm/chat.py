@@ -6,8 +6,10 @@ with ``tool_call_id``. Any other text is content and stays as it is.
 
 * Calls and results meet in a hash join by (conversation, identifier), never in one
   list of a conversation; of several results of a call the earliest turn answers it.
+  An identifier that very many rows repeat is broadcast (see skew_join).
 * A call depends on the calls whose results its arguments name as {"$ref": id}. Levels
-  are found round by round with joins; calls on a cycle, or behind one, get none.
+  are found round by round with joins; a round reads the needs that are still open and
+  the level before, no more. Calls on a cycle, or behind one, get none.
 * Arguments are checked against the tool's JSON schema (type, properties, required,
   additionalProperties, items, enum); calls of tools without a schema are not judged.
 * Canonical JSON: keys sorted by code point, no spaces, UTF-8, one line a message.
@@ -28,10 +30,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import map_arrow, shared_table
+from netloom.llm.common import drop_table, map_arrow, scratch_path, shared_table, skew_join
 
 _CALL = "call_id: string, name: string, arguments: string, rest: string, needs: array<string>, valid: boolean"
 _TYPES = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
@@ -115,19 +117,37 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv, call_id, level): 0 without needs, else one more than the highest need's."""
-    first = calls.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "at", "needs")).alias("x")).select("conv", "call_id", "x.needs")
-    needs = shared_table(first.select("conv", "call_id", F.explode(F.array_distinct("needs")).alias("need")), "needs")
-    many = needs.groupBy("conv", "call_id").agg(F.count("*").alias("many"))
-    done = shared_table(first.where(F.size("needs") == 0).select("conv", "call_id", F.lit(0).alias("level")), "level")
-    fresh = done
+    """(key, level) of (key, needs), needs being keys: 0 without needs, else one more than the highest need's."""
+    spark = calls.sparkSession
+    folder, k = scratch_path(spark, "levels"), 0
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{folder}/round={k}"
+        df.select("key", F.col("level").cast("int").alias("level")).write.parquet(path)
+        return spark.read.schema("key string, level int").parquet(path)
+
+    open_ = shared_table(calls.select("key", F.explode(F.array_distinct("needs")).alias("need")), "needs")
+    tops = None  # of calls some of whose needs are met: the highest level of these
+    fresh = put(calls.where(F.size("needs") == 0).select("key", F.lit(0).alias("level")))
     while not fresh.isEmpty():
-        met = needs.alias("n").join(done.alias("d"), F.col("n.conv").eqNullSafe(F.col("d.conv")) & (F.col("need") == F.col("d.call_id"))).groupBy("n.conv", "n.call_id").agg(F.count("*").alias("met"), F.max("level").alias("top"))
-        ready = met.alias("m").join(many.alias("k"), F.col("m.conv").eqNullSafe(F.col("k.conv")) & (F.col("m.call_id") == F.col("k.call_id")) & (F.col("met") == F.col("many")))
-        ready = ready.select("m.conv", "m.call_id", (F.col("top") + 1).alias("level")).alias("r")
-        fresh = shared_table(ready.join(done.alias("d"), F.col("r.conv").eqNullSafe(F.col("d.conv")) & (F.col("r.call_id") == F.col("d.call_id")), "left_anti"), "level")
-        done = shared_table(done.unionByName(fresh), "levels")
-    return done
+        level = fresh.select(F.col("key").alias("need"), "level")
+        met = open_.join(level, "need").groupBy("key").agg(F.max("level").alias("top"))
+        if tops is not None:
+            met = met.unionByName(tops).groupBy("key").agg(F.max("top").alias("top"))
+        met, still = shared_table(met, "met"), shared_table(open_.join(level, "need", "left_anti"), "needs")
+        drop_table(open_)
+        if tops is not None:
+            drop_table(tops)
+        waits = still.select("key").distinct()
+        open_, tops, k = still, shared_table(met.join(waits, "key", "left_semi"), "tops"), k + 1
+        fresh = put(met.join(waits, "key", "left_anti").select("key", (F.col("top") + 1).alias("level")))
+        drop_table(met)
+    return spark.read.schema("key string, level int").parquet(folder).select("key", "level")
+
+
+def _key(conv: str, name: str) -> Column:
+    """A conversation's identifier; a conversation is a number or null, so that no two are alike."""
+    return F.concat(F.coalesce(F.col(conv).cast("string"), F.lit("")), F.lit("/"), F.col(name))
 
 
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -142,11 +162,13 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     rows = messages.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parsed = map_arrow(rows, read, f"conv long, turn long, role string, text string, calls array<struct<{_CALL}>>, answers string")
     parsed = shared_table(parsed.withColumn("row", F.monotonically_increasing_id()), "messages")
-    calls = parsed.select("row", "conv", "turn", F.posexplode("calls").alias("at", "call")).select("row", "conv", "turn", "at", "call.*")
-    results = parsed.where("answers is not null").groupBy("conv", "answers").agg(F.min("turn").alias("result_turn")).alias("r")
-    c, v = calls.alias("c"), levels(calls).alias("v")
-    linked = c.join(results, F.col("c.conv").eqNullSafe(F.col("r.conv")) & (F.col("c.call_id") == F.col("r.answers")), "left").select("c.*", "result_turn").alias("c")
-    linked = linked.join(v, F.col("c.conv").eqNullSafe(F.col("v.conv")) & (F.col("c.call_id") == F.col("v.call_id")), "left").select("c.*", "level")
+    calls = parsed.select("row", "conv", "turn", F.posexplode("calls").alias("at", "call")).select("row", "conv", "turn", "at", "call.*").withColumn("key", _key("conv", "call_id"))
+    results = parsed.where("answers is not null").select(_key("conv", "answers").alias("key"), "turn").groupBy("key").agg(F.min("turn").alias("result_turn"))
+    # an identifier names its first call
+    named = calls.groupBy("key").agg(F.min(F.struct("turn", "at", "needs")).alias("x"), F.first("conv").alias("conv"), F.count("*").alias("times"))
+    named = shared_table(named.select("key", "times", F.transform("x.needs", lambda n: F.concat(F.coalesce(F.col("conv").cast("string"), F.lit("")), F.lit("/"), n)).alias("needs")), "calls")
+    info = shared_table(named.select("key", "times").join(results, "key", "left").join(levels(named), "key", "left"), "linked")
+    linked = skew_join(calls, info, "key", "times")
     # a message's own calls, in topological order
     own = linked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("order"), "at", "call_id", "name", "arguments", "rest", "level", "result_turn", "valid"))).alias("linked"))
     full = parsed.join(own, "row", "left").select("conv", "turn", "role", "text", "answers", "linked")

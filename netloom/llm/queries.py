@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netloom.llm import bpe, brown, chat, exact_dedup, minhash, mixing, quality, repeats, token_store, toxicity
 from netloom.llm.common import table
@@ -42,8 +43,35 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_digest(table(spark, sf_dir, "documents"), length=400)
 
 
+def with_tool_messages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): all messages, and for each of an assistant three calls and their results.
+
+    The table has no tool messages, so these are derived from its rows: of the calls, in
+    an order that is not theirs, ``pick`` needs ``measure`` and ``join`` needs both;
+    where the text's length is a multiple of 7, ``measure`` needs ``join``, a cycle. Some
+    arguments break their schemas, some calls have no result.
+    """
+    rows = messages.select("conv_id", "turn", "role", "text")
+    n, own = F.length(F.coalesce("text", F.lit(""))), F.concat(F.col("turn"), F.lit("-"), F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8))
+    said = rows.where("role = 'assistant'").select("conv_id", "turn", n.alias("n"), own.alias("own"))
+    many = F.when(F.col("n") % 5 == 0, F.lit('"many"')).otherwise(F.col("n").cast("string"))
+    after = F.when(F.col("n") % 7 == 0, F.concat(F.lit('"after":{"$ref":"'), "own", F.lit('c"},'))).otherwise("")
+    join = F.concat(F.lit('{"id":"'), "own", F.lit('c","name":"join","arguments":{"right":{"$ref":"'), "own", F.lit('b"},"left":{"$ref":"'), "own", F.lit('a"}}}'))
+    pick = F.concat(F.lit('{"id":"'), "own", F.lit('b","name":"pick","arguments":{"n":'), "turn", F.lit(',"from":{"$ref":"'), "own", F.lit('a"}}}'))
+    measure = F.concat(F.lit('{"id":"'), "own", F.lit('a","name":"measure","arguments":{'), after, F.lit('"n":'), many, F.lit("}}"))
+    calls = said.select("conv_id", "turn", F.lit("assistant").alias("role"), F.concat(F.lit('{"tool_calls":['), F.concat_ws(",", join, pick, measure), F.lit("]}")).alias("text"))
+    answer = lambda rows, call: rows.select("conv_id", "turn", F.lit("tool").alias("role"), F.concat(F.lit('{"tool_call_id":"'), "own", F.lit(f'{call}","content":'), "n", F.lit("}")).alias("text"))
+    return rows.unionByName(calls).unionByName(answer(said.where("n % 3 <> 0"), "a")).unionByName(answer(said.where("turn >= 3"), "b"))
+
+
+SCHEMAS = {
+    "measure": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "after": {"type": "object"}}, "additionalProperties": False},
+    "pick": {"type": "object", "required": ["from", "n"], "properties": {"from": {"type": "object"}, "n": {"enum": [1, 3]}}},
+}
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    return chat.format_chat(with_tool_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +122,39 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
                bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits FROM f""",
     "op9_chat_format": """
+        WITH RECURSIVE m AS (
+            SELECT conv_id, turn, length(coalesce(text, '')) AS n, turn || '-' || substr(md5(coalesce(text, '')), 1, 8) AS u, row_number() OVER () AS row
+            FROM conversations WHERE role = 'assistant'),
+        c AS (
+            SELECT conv_id, turn, row, 0 AS pos, u || 'c' AS id, 'join' AS name, '{"left":{"$ref":"' || u || 'a"},"right":{"$ref":"' || u || 'b"}}' AS args, [u || 'a', u || 'b'] AS needs FROM m
+            UNION ALL
+            SELECT conv_id, turn, row, 1, u || 'b', 'pick', '{"from":{"$ref":"' || u || 'a"},"n":' || turn || '}', [u || 'a'] FROM m
+            UNION ALL
+            SELECT conv_id, turn, row, 2, u || 'a', 'measure',
+                   '{' || CASE WHEN n % 7 = 0 THEN '"after":{"$ref":"' || u || 'c"},' ELSE '' END || '"n":' || CASE WHEN n % 5 = 0 THEN '"many"' ELSE n::VARCHAR END || '}',
+                   CASE WHEN n % 7 = 0 THEN [u || 'c'] ELSE []::VARCHAR[] END FROM m),
+        r AS (SELECT conv_id, turn, u || 'a' AS id, n FROM m WHERE n % 3 <> 0 UNION ALL SELECT conv_id, turn, u || 'b', n FROM m WHERE turn >= 3),
+        e AS (SELECT DISTINCT conv_id, id, unnest(needs) AS need FROM c),
+        walk AS (
+            SELECT DISTINCT conv_id, id, id AS cur, 0 AS depth FROM c
+            UNION
+            SELECT w.conv_id, w.id, e.need, w.depth + 1 FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.id = w.cur WHERE w.depth < 4),
+        lv AS (SELECT conv_id, id, CASE WHEN max(depth) < 4 THEN max(depth) END AS level FROM walk GROUP BY 1, 2),
+        first AS (SELECT conv_id, id, min(turn) AS result_turn FROM r GROUP BY 1, 2),
+        j AS (
+            SELECT c.*, lv.level, first.result_turn,
+                   CASE name WHEN 'measure' THEN json_type(args, '$.n') IN ('UBIGINT', 'BIGINT') WHEN 'pick' THEN json_extract_string(args, '$.n') IN ('1', '3') END AS valid
+            FROM c JOIN lv ON lv.conv_id = c.conv_id AND lv.id = c.id LEFT JOIN first ON first.conv_id = c.conv_id AND first.id = c.id)
         SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
                CAST(to_json({'content': text, 'role': role, 'turn': turn}) AS VARCHAR) AS line
-        FROM conversations""",
+        FROM conversations
+        UNION ALL
+        SELECT any_value(conv_id), any_value(turn), 'assistant', count(*), count(result_turn), count(*) FILTER (WHERE valid = false),
+               '{"role":"assistant","tool_calls":[' || string_agg(
+                   '{"arguments":' || args || ',"id":"' || id || '","level":' || coalesce(level::VARCHAR, 'null') || ',"name":"' || name || '","result_turn":'
+                   || coalesce(result_turn::VARCHAR, 'null') || ',"valid":' || coalesce(valid::VARCHAR, 'null') || '}', ',' ORDER BY coalesce(level, 2147483647), pos)
+               || '],"turn":' || any_value(turn) || '}'
+        FROM j GROUP BY row
+        UNION ALL
+        SELECT conv_id, turn, 'tool', 0, 0, 0, '{"content":' || n || ',"role":"tool","tool_call_id":"' || id || '","turn":' || turn || '}' FROM r""",
 }

@@ -54,7 +54,7 @@ def test_exact_dedup(docs, none, by_id):
 
 
 def test_exact_dedup_tells_collisions_apart(docs, by_id):
-    got = exact_dedup.exact_groups(docs, "largest", hash128=lambda x: b"same").collect()
+    got = exact_dedup.exact_groups(docs, "largest", hashed=lambda x: b"same").collect()
     sizes = collections.Counter(lower(t) for t in by_id.values())
     assert all(r.group_size == sizes[lower(by_id[r.doc_id])] for r in got) and sum(r.kept for r in got) == len(sizes)
 
@@ -137,8 +137,7 @@ def test_bpe_on_random_characters(library):
     for _ in range(1500):
         t = "".join(r.choice([*pool, chr(r.randrange(32, 0x3000))]) for _ in range(r.randrange(20)))
         want = library.encode(t, add_special_tokens=False).ids
-        assert own.encode(t) == want
-        assert b"".join(x[0] for x in own.words(t.encode())) == np.array(want, "<u4").tobytes()
+        assert own.encode(t.encode()) == np.array(want, "<u4").tobytes()
         assert token_store.LibraryEncoder.of(bpe.read_spec()).encode(t.encode()) == np.array(want, "<u4").tobytes()
 
 
@@ -177,13 +176,76 @@ def test_brown(docs, none, by_id):
     assert brown.brown_scores(none).count() == 0
 
 
-def test_brown_words_outside_the_head(docs, monkeypatch):
-    whole = {r.doc_id: (r.n_known, r.base_score) for r in brown.brown_scores(docs).collect()}
-    counts = brown.word_counts(docs)
-    assert brown.head_words(counts, 10).counts.tolist() == sorted((r.c for r in counts.where("length(word) > 0").collect()), reverse=True)[:10]
-    monkeypatch.setattr(brown, "head_words", lambda c, size=0, f=brown.head_words: f(c, 20))
-    few = {r.doc_id: (r.n_known, r.base_score) for r in brown.brown_scores(docs).collect()}
-    assert all(few[i][0] == whole[i][0] and math.isclose(few[i][1], whole[i][1], rel_tol=1e-9) for i in whole)
+def test_brown_score_by_brute_force(docs, by_id):
+    """P(text) summed over all classes of words never seen, from the classes that the model gives and counts made here."""
+    model = brown.cluster(docs, own=12, classes=4)
+    klass = dict(zip(model.own, model.own_classes.tolist())) | {bytes(r.word): r.klass for r in model.vocabulary.collect()}
+    train = [[w.encode() for w in words(t)] for i, t in by_id.items() if remainder(i, 5) != 1]
+    count = collections.Counter(w for t in train for w in t)
+    assert set(klass) == set(count) and {bytes(r.word): r.c for r in model.vocabulary.collect()} == {w: c for w, c in count.items() if w not in model.own}
+    chains = [[4, *[klass[w] for w in t], 4] for t in train]
+    pairs = collections.Counter(p for c in chains for p in zip(c, c[1:]))
+    total, into, out_ = sum(pairs.values()), collections.Counter(), collections.Counter()
+    for (x, y), k in pairs.items():
+        out_[x] += k
+        into[y] += k
+    share = [(into[y] + 0.5) / (total + 2.5) for y in range(5)]
+    step = [[(pairs[x, y] + brown.PULL * share[y]) / (out_[x] + brown.PULL) for y in range(5)] for x in range(5)]
+    n, v = collections.Counter({4: len(train)}), collections.Counter({4: 1})
+    for w, c in count.items():
+        n[klass[w]] += c
+        v[klass[w]] += 1
+    room = [n[y] + 0.5 * (v[y] + 1) for y in range(5)]
+
+    def brute(ws):
+        now, log = [0.0] * 4 + [1.0], 0.0
+        for w in [*ws, None]:
+            if w is None or w in klass:
+                emit = [0.0] * 5
+                y = 4 if w is None else klass[w]
+                emit[y] = ((len(train) if w is None else count[w]) + 0.5) / room[y]
+            else:
+                emit = [0.5 / room[y] for y in range(4)] + [0.0]
+            now = [sum(now[x] * step[x][y] for x in range(5)) * emit[y] for y in range(5)]
+            log += math.log10(sum(now))
+            now = [x / sum(now) for x in now]
+        return log
+
+    for head in (15, 1000):
+        got = {r.doc_id: r.score for r in brown.brown_scores(docs, head=head, own=12, classes=4).collect()}
+        assert all(math.isclose(got[i], brute([w.encode() for w in words(t)]), rel_tol=1e-9) for i, t in by_id.items())
+
+
+def test_brown_words_outside_the_head(docs):
+    whole = {r.doc_id: r for r in brown.brown_scores(docs).collect()}
+    few = {r.doc_id: r for r in brown.brown_scores(docs, head=20).collect()}
+    assert all(few[i].n_known == r.n_known and math.isclose(few[i].base_score, r.base_score, rel_tol=1e-9) for i, r in whole.items())
+    assert brown.brown_scores(docs.where("text is null")).where("n_tokens = 1").count() == 2
+
+
+def test_other_words_go_to_the_class_of_greatest_gain():
+    r = np.random.default_rng(7)
+    units = r.integers(0, 40, (9, 9)).astype(float)  # 7 own units, the end, all other words
+    of = np.array([0, 1, 2, 0, 1, 2, 0, 3, 4])
+    g = brown.between(units, of, 5)
+    mi = lambda m: brown.xlogx(m).sum() - brown.xlogx(m.sum(0)).sum() - brown.xlogx(m.sum(1)).sum()
+    word, code, n = [], [], []
+    for w in range(30):
+        for x in sorted(r.choice(16, r.integers(1, 6), replace=False).tolist()):  # contexts among classes 0..3
+            word.append(w)
+            code.append(x // 4 * 5 + x % 4)
+            n.append(int(r.integers(1, 25)))
+    word, code, n = np.array(word), np.array(code), np.array(n)
+    klass, c = brown.Gains(g, 3).best(word, code, n)
+    for w in range(30):
+        gains = []
+        for b in range(3):
+            m = g.copy()
+            for x, k in zip(code[word == w], n[word == w]):
+                m[x // 5, b] += k
+                m[b, x % 5] += k
+            gains.append(mi(m))
+        assert c[w] == n[word == w].sum() and np.isclose(gains[klass[w]], max(gains))
 
 
 def test_exchange_finds_alternating_classes():
@@ -288,7 +350,7 @@ def removed(rows, length):
 @pytest.mark.parametrize("block", [2048, 3])
 def test_repeats(spark, docs, none, by_id, monkeypatch, block):
     monkeypatch.setattr(repeats, "BLOCK", block)
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.repeats_digest(docs).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeats.repeats_digest(docs).collect()}
     assert got == removed(by_id.items(), 400) and sum(x[1] for x in got.values()) > 0
     assert repeats.repeats_digest(none).count() == 0
 
@@ -296,10 +358,31 @@ def test_repeats(spark, docs, none, by_id, monkeypatch, block):
 def test_repeats_within_a_text(spark):
     rows = [(1, "a" * 1000), (2, "ab" * 700), (3, None), (4, "x" * 400), (5, "x" * 400), (6, "y" * 401), (7, "z" * 400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: tuple(r)[1:] for r in repeats.repeats_digest(df).collect()} == removed(rows, 400)
+    assert {r.doc_id: tuple(r)[1:5] for r in repeats.repeats_digest(df).collect()} == removed(rows, 400)
     assert {r.doc_id: len(r.kept) for r in repeats.remove_repeats(df).collect()}[7] == 400
 
 
+def test_shared_passages(spark, none):
+    """Sure from PASSAGE words on, none below NOISE words, whatever stands around them."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7)))
+    rows, sure, never = [], set(), set()
+    for k in range(60):
+        size = r.choice([20, 39, 44, 50, 51, 70, 300])
+        passage = [word() for _ in range(size)]
+        for j in range(2):
+            rows.append((2 * k + j, " ".join([*[word() for _ in range(r.randrange(90))], *(w.upper() if j else w for w in passage), *[word() for _ in range(r.randrange(90))]]).replace(" ", "\n" if j else " ")))
+            (sure if size >= 50 else never if size < 40 else set()).add(2 * k + j)
+    rows += [(500, None), (501, ""), (None, "x " * 100), (None, "x " * 100), (502, "y " * 100)]
+    got = {r.doc_id for r in repeats.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sure <= got and not never & got and None in got and not {500, 501, 502} & got
+    assert repeats.shared_passages(none).count() == 0
+    text = " ".join(word() for _ in range(4000)).encode()
+    small = repeats.Winnow()
+    small.STEP = 64
+    assert small.of(text).tolist() == repeats.Winnow().of(text).tolist()
+
+
 def test_chat(spark):
     call = '{"tool_calls": [{"id": "b", "name": "add", "arguments": {"x": {"$ref": "a"}}}, {"id": "a", "name": "get", "arguments": {"k": "é"}}]}'
     rows = [(1, 0, "user", "hi\n{"), (1, 1, "assistant", call), (1, 2, "tool", '{"tool_call_id": "a", "content": 3}'), (2, 0, "tool", '{"tool_call_id": "b"}'), (None, None, None, None), (1, 0, "user", "hi\n{"), (3, 0, "assistant", "{broken")]
