@@ -39,11 +39,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy, encoded and decoded again.
-
-    Workers outlive the stage, so they remember less than where encoding is all they do.
-    """
-    return bpe_digest(docs, cache=80_000)
+    """Token ids of every copy, encoded and decoded again; null and empty texts have none."""
+    return bpe_digest(docs)
 
 
 STAGES = [("quality rules", rules), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("bpe", tokens)]
