@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.plans.graph import PropertyGraph
-from netloom.plans.iterate import cut
+from netloom.plans.iterate import cut, discard, place
 
 
 def connected_components(g: PropertyGraph) -> DataFrame:
@@ -23,6 +23,8 @@ def connected_components(g: PropertyGraph) -> DataFrame:
         lower = cut(lower, "lower")
         jump = lower.select(F.col("id").alias("at"), F.col("low").alias("next"))
         fresh = cut(lower.join(jump, lower.low == jump["at"]).select("id", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "labels")
+        discard(labels)
+        discard(lower)
         labels = fresh.select("id", "label")
         if fresh.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -30,12 +32,22 @@ def connected_components(g: PropertyGraph) -> DataFrame:
 
 def _reached(links: DataFrame, start: DataFrame, key: str, to: str) -> DataFrame:
     """(id, color) that ``start`` reaches along links inside one color. ``links`` carry color."""
-    done = frontier = cut(start, "reached")
+    spark, k = links.sparkSession, 0
+    folder, schema = place(spark, "reached"), start.select("id", "color").schema
+
+    def put(rows: DataFrame) -> DataFrame:
+        """A round's vertices in a folder of their own, none of which is written again."""
+        path = f"{folder}/round={k}"
+        rows.select("id", "color").write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    frontier = put(start)
     while not frontier.isEmpty():
+        k += 1
+        done = spark.read.schema(schema).parquet(folder).select("id", "color")
         step = frontier.join(links, (frontier.id == links[key]) & (frontier.color == links.color)).select(F.col(to).alias("id"), links.color).distinct()
-        frontier = cut(step.join(done, ["id", "color"], "left_anti"), "frontier")
-        done = cut(done.unionByName(frontier), "reached")
-    return done
+        frontier = put(step.join(done, ["id", "color"], "left_anti"))
+    return spark.read.schema(schema).parquet(folder).select("id", "color")
 
 
 def strongly_connected_components(g: PropertyGraph, iterations: int | None = None) -> DataFrame:
@@ -63,7 +75,9 @@ def strongly_connected_components(g: PropertyGraph, iterations: int | None = Non
         colors = cut(links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id")), "colors")
         while True:
             sent = links.join(colors, links.src == colors.id).groupBy("dst").agg(F.min("color").alias("low"))
+            was = colors
             fresh = cut(colors.join(sent, colors.id == sent.dst, "left").select("id", F.least("color", F.coalesce("low", "color")).alias("color"), (F.col("low") < F.col("color")).alias("moved")), "colors")
+            discard(was)
             colors = fresh.select("id", "color")
             if fresh.where("moved").isEmpty():
                 break
@@ -102,9 +116,18 @@ def triangle_count(g: PropertyGraph) -> DataFrame:
 
 
 def directed_triangles(g: PropertyGraph) -> DataFrame:
-    """(id, triangles): directed 3-cycles through a vertex, parallel edges counted."""
-    e = cut(g.merged().where("src <> dst"), "links")
-    a = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("n").alias("n1"))
-    b = e.select(F.col("src").alias("y"), F.col("dst").alias("z"), F.col("n").alias("n2"))
-    c = e.select(F.col("src").alias("z"), F.col("dst").alias("x"), F.col("n").alias("n3"))
-    return a.join(b, "y").join(c, ["z", "x"]).groupBy(F.col("x").alias("id")).agg(F.sum(F.col("n1") * F.col("n2") * F.col("n3")).alias("triangles"))
+    """(id, triangles): directed 3-cycles through a vertex, parallel edges counted.
+
+    Corners are found on the undirected links from lower to higher degree, as in
+    :func:`triangle_count`; each link carries its numbers of edges either way, and a
+    closed triangle counts its two directions.
+    """
+    both = g.merged().where("src <> dst").select(F.explode(F.array(F.struct("src", "dst", F.col("n").alias("f"), F.lit(0).cast("long").alias("b")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("f"), F.col("n").alias("b")))).alias("e"))
+    both = cut(both.groupBy("e.src", "e.dst").agg(F.sum("e.f").alias("f"), F.sum("e.b").alias("b")), "links")
+    deg = both.groupBy("src").agg(F.count("*").alias("d"))
+    a, b = deg.select(F.col("src"), F.col("d").alias("da")), deg.select(F.col("src").alias("dst"), F.col("d").alias("db"))
+    up = cut(both.join(a, "src").join(b, "dst").where("struct(da, src) < struct(db, dst)").select("src", "dst", "f", "b"), "oriented")
+    side = lambda x, y: up.select(F.col("src").alias(x), F.col("dst").alias(y), F.col("f").alias(f"f{x}{y}"), F.col("b").alias(f"b{x}{y}"))
+    closed = side("x", "y").join(side("x", "z"), "x").join(side("y", "z"), ["y", "z"])
+    cycles = F.col("fxy") * F.col("fyz") * F.col("bxz") + F.col("fxz") * F.col("byz") * F.col("bxy")
+    return closed.select(F.explode(F.array("x", "y", "z")).alias("id"), cycles.alias("n")).groupBy("id").agg(F.sum("n").alias("triangles")).where("triangles > 0")

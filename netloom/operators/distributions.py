@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from netloom.functions.scalar import bucketed, random_long
 from netloom.plans.graph import EDGE_FIELDS, PropertyGraph
+from netloom.plans.iterate import cut
 
 UNCONDITIONAL = ["ts", "origPort", "respPort", "origBytes"]
 CONDITIONAL = ["proto", "duration", "respBytes", "connState", "origPkts", "origIpBytes", "respPkts", "respIpBytes"]
 BUCKETED = ["ts", "duration", "origBytes", "respBytes", "origPkts", "origIpBytes", "respPkts", "respIpBytes"]
-CELLS = 4096
+CELL_VALUES, MIN_CELLS = 4, 64
 
 
 def bucket_properties(edges: DataFrame, width: int = 10) -> DataFrame:
@@ -24,9 +25,23 @@ def bucket_properties(edges: DataFrame, width: int = 10) -> DataFrame:
 
 
 def _cumulated(counts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("dist", "cond")
-    run = w.orderBy(F.desc("n"), "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("total", F.sum("n").over(w)).withColumn("cum_hi", F.sum("n").over(run)).withColumn("cum_lo", F.col("cum_hi") - F.col("n"))
+    """Running sums of (dist, cond, value, n) in order of falling n.
+
+    All rows are cut in ranges of (dist, cond, n, value), so that a distribution of very
+    many values is no single task's: sums run inside a range, and a distribution that
+    spans several ranges adds the sums of those before.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("n"), F.col("value")]
+    ranged = cut(counts.repartitionByRange(parts, "dist", F.col("cond").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id()), "ranged")
+    local = Window.partitionBy("part", "dist", "cond").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = Window.partitionBy("dist", "cond")  # a row for each range that the distribution spans
+    sums = ranged.groupBy("part", "dist", "cond").agg(F.sum("n").alias("here"))
+    sums = sums.select("part", "dist", "cond", F.sum("here").over(of).alias("total"), (F.sum("here").over(of.orderBy("part")) - F.col("here")).alias("before"))
+    r, s = ranged.withColumn("run", F.sum("n").over(local)).alias("r"), sums.alias("s")
+    same = (F.col("r.part") == F.col("s.part")) & (F.col("r.dist") == F.col("s.dist")) & F.col("r.cond").eqNullSafe(F.col("s.cond"))
+    high = F.col("before") + F.col("run")
+    return r.join(s, same).select("r.dist", "r.cond", "value", "n", "total", high.alias("cum_hi"), (high - F.col("n")).alias("cum_lo"))
 
 
 def distribution(values: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -62,14 +77,17 @@ def sample(rows: DataFrame, key: str, dists: DataFrame, dist: str, seed: int, co
     """``rows`` with a value drawn from ``dist`` for each; a row whose condition is unknown gets null.
 
     The cumulative table is cut in cells, so that the lookup is an equi-join on
-    (condition, cell) with a short range check.
+    (condition, cell) with a short range check. A distribution of D values has at least
+    D / CELL_VALUES cells of equal probability, so a drawn row meets CELL_VALUES + 1
+    values on average, however many there are.
     """
     into = into or dist
     d = dists.where(F.col("dist") == dist).select(F.coalesce("cond", F.lit("")).alias("__cond"), F.col("value").alias("__value"), "total", "cum_lo", "cum_hi")
-    width = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / CELLS))
+    sizes = d.groupBy("__cond").agg(F.max("total").alias("total"), F.count("*").alias("__values"))
+    cells = F.greatest(F.ceil(F.col("__values") / CELL_VALUES), F.least(F.col("total"), F.lit(MIN_CELLS)))
+    sizes = sizes.select("__cond", "total", F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / cells)).alias("__width"))
     cell = lambda c: F.floor(c / F.col("__width")).cast("long")
-    d = d.withColumn("__width", width).withColumn("__cell", F.explode(F.sequence(cell(F.col("cum_lo")), cell(F.col("cum_hi") - 1))))
-    sizes = d.select("__cond", "total", "__width").distinct()
+    d = d.join(sizes.select("__cond", "__width"), "__cond").withColumn("__cell", F.explode(F.sequence(cell(F.col("cum_lo")), cell(F.col("cum_hi") - 1))))
     keyed = rows.withColumn("__cond", F.coalesce(F.col(cond).cast("string"), F.lit("")) if cond else F.lit(""))
     drawn = keyed.join(sizes, "__cond", "left").withColumn("__u", F.pmod(random_long(seed, dist, F.col(key)), F.col("total"))).withColumn("__cell", cell(F.col("__u")))
     cells = d.select("__cond", "__cell", "__value", "cum_lo", "cum_hi")

@@ -7,6 +7,7 @@ with the links and an anti-join with what is known, written to the shared folder
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from netloom.plans.graph import PropertyGraph
 from netloom.plans.iterate import cut
 
+BLOCK = 100_000
+
 
 def sssp(g: PropertyGraph, source: int, directed: bool = True, until: int | None = None, cutoff: int | None = None) -> DataFrame:
     """(id, dist, parent) of every vertex that ``source`` reaches; of equal parents the smallest.
@@ -58,17 +61,37 @@ def closeness(g: PropertyGraph, vertex: int, directed: bool = True) -> DataFrame
     return total.crossJoin(g.vertices.agg(F.count("*").alias("n"))).select(F.when(F.col("s") > 0, F.col("n") / F.col("s")).otherwise(F.lit(-1.0)).alias("closeness"))  # one row each
 
 
-def harmonic_closeness(g: PropertyGraph) -> DataFrame:
-    """(id, closeness): the sum of 1/dist over undirected neighbours at one hop."""
-    return g.undirected().groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("closeness"))
+def harmonic_closeness(g: PropertyGraph, hops: int | None = 1, block: int = BLOCK) -> DataFrame:
+    """(id, closeness): the sum of 1/dist over what a vertex reaches undirected within ``hops``, all of it if None.
+
+    Vertices that reach none are left out. Sources go in blocks of about ``block``.
+    """
+    if hops == 1:
+        return g.undirected().groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("closeness"))
+    links, parts = cut(g.undirected(), "links"), []
+    for sources in _blocks(g, block):
+        pairs = _distances(links, sources, hops).where("dist > 0")
+        parts.append(cut(pairs.groupBy(F.col("s").alias("id")).agg(F.sum(1.0 / F.col("dist")).alias("closeness")), "closeness"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _blocks(g: PropertyGraph, block: int) -> list[DataFrame]:
+    """The vertices (id) in parts of about ``block``."""
+    n = max(1, -(-g.vertices.count() // block))
+    return [g.vertices.select("id").where(F.pmod(F.xxhash64("id"), F.lit(n)) == k) for k in range(n)]
 
 
 def all_distances(g: PropertyGraph, hops: int, directed: bool = True) -> DataFrame:
     """(s, v, dist, paths) of all pairs within ``hops``; paths counts shortest ones."""
-    links = cut(g.simple() if directed else g.undirected(), "links")
-    frontier = cut(g.vertices.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("dist"), F.lit(1).cast("long").alias("paths")), "level")
+    return _distances(cut(g.simple() if directed else g.undirected(), "links"), g.vertices, hops)
+
+
+def _distances(links: DataFrame, sources: DataFrame, hops: int | None) -> DataFrame:
+    frontier = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("dist"), F.lit(1).cast("long").alias("paths")), "level")
     levels = [frontier]
-    for d in range(1, hops + 1):
+    for d in count(1):
+        if hops is not None and d > hops:
+            break
         known = reduce(DataFrame.unionByName, levels).select("s", F.col("v").alias("dst"))
         step = frontier.join(links, frontier.v == links.src).groupBy("s", "dst").agg(F.sum("paths").alias("paths")).join(known, ["s", "dst"], "left_anti")
         frontier = cut(step.select("s", F.col("dst").alias("v"), F.lit(d).alias("dist"), "paths"), "level")
@@ -78,12 +101,23 @@ def all_distances(g: PropertyGraph, hops: int, directed: bool = True) -> DataFra
     return reduce(DataFrame.unionByName, levels)
 
 
-def betweenness(g: PropertyGraph, hops: int) -> DataFrame:
-    """(id, bc): over ordered pairs within ``hops`` on the simple undirected graph, each vertex's share of shortest paths."""
+def betweenness(g: PropertyGraph, hops: int, block: int = BLOCK) -> DataFrame:
+    """(id, bc): over ordered pairs within ``hops`` on the simple undirected graph, each vertex's share of shortest paths.
+
+    Sources go in blocks of about ``block``, so that the pairs on disk at a time grow
+    with a block's reach and not with that of all vertices.
+    """
     if hops < 1:
         raise ValueError("hops must be positive")
-    pairs = cut(all_distances(g, hops, directed=False), "pairs")
     links = cut(g.undirected(), "links")
+    parts = [cut(_shares(links, sources, hops), "shares") for sources in _blocks(g, block)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("bc").alias("bc"))
+    return g.vertices.join(sums, "id", "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
+
+
+def _shares(links: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
+    """(id, bc) over the pairs of some sources."""
+    pairs = cut(_distances(links, sources, hops), "pairs")
     below = pairs.where(F.col("dist") == hops).select("s", "v", "paths", F.lit(0.0).alias("share"))
     parts = [below]
     for d in range(hops - 1, 0, -1):
@@ -92,5 +126,4 @@ def betweenness(g: PropertyGraph, hops: int) -> DataFrame:
         here = pairs.where(F.col("dist") == d).select("s", "v", "paths")
         below = cut(here.join(given, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("give", F.lit(0.0))).alias("share")), "share")
         parts.append(below)
-    sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("bc"))
-    return g.vertices.join(sums, "id", "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
+    return reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("bc"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.plans.graph import PropertyGraph
-from netloom.plans.iterate import cut
+from netloom.plans.iterate import cut, discard
 
 
 def pagerank(g: PropertyGraph, tol: float | None = 0.001, max_iter: int | None = None, reset: float = 0.15, normalize: bool = False) -> DataFrame:
@@ -23,6 +23,7 @@ def pagerank(g: PropertyGraph, tol: float | None = 0.001, max_iter: int | None =
         sent = ranks.join(weights, ranks.id == weights.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         fresh = cut(ranks.join(sent, ranks.id == sent.dst, "left").select("id", (reset + (1 - reset) * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was")), "ranks")
         k += 1
+        discard(ranks)
         ranks = fresh.select("id", "rank")
         if tol is not None and (fresh.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) <= tol:
             break

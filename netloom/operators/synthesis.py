@@ -23,6 +23,18 @@ def with_edge_ids(links: DataFrame) -> DataFrame:
     return merged.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k")).withColumn("edge", F.concat_ws(":", "src", "dst", "k")).drop("k")
 
 
+def poisson_bounds(mean: float) -> list[float]:
+    """P(N < 1), P(N < 2), ... of a Poisson N, up to the last that a uniform number of 52 bits can reach."""
+    p, k, out = math.exp(-mean), 0, []
+    acc = p
+    while acc < 1 - 2.0**-52 and (k < mean or p > 1e-18):
+        out.append(acc)
+        k += 1
+        p *= mean / k
+        acc += p
+    return out
+
+
 def barabasi_albert(seed_graph: PropertyGraph, dists: DataFrame, iterations: int, fraction: float = 0.1, seed: int = 42, compat_edges: bool = True) -> DataFrame:
     """(src, dst) of a larger graph by parallel preferential attachment.
 
@@ -32,17 +44,15 @@ def barabasi_albert(seed_graph: PropertyGraph, dists: DataFrame, iterations: int
     """
     if iterations < 1:
         raise ValueError("iterations must be positive")
+    if not 0 <= fraction <= 100:
+        raise ValueError("fraction must be between 0 and 100")
     edges = cut(seed_graph.relabelled().links, "ba")
     for r in range(iterations):
         top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
         rows = with_edge_ids(edges)
-        # a Poisson number of copies of each edge, by inverting its distribution
-        u, p, acc, copies = random_unit(seed, f"take{r}", F.col("edge")), math.exp(-fraction), math.exp(-fraction), F.lit(0)
-        for k in range(1, 12):
-            copies = copies + (u >= acc).cast("int")
-            p *= fraction / k
-            acc += p
-        taken = rows.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        rows = rows.withColumn("u", random_unit(seed, f"take{r}", F.col("edge")))
+        copies = F.aggregate(F.array(*[F.lit(x) for x in poisson_bounds(fraction)]), F.lit(0), lambda n, x: n + (F.col("u") >= x).cast("int"))
+        taken = rows.withColumn("copies", copies).drop("u").where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         taken = taken.withColumn("draw", F.concat_ws("#", "edge", "copy"))
         old = F.when(random_long(seed, f"side{r}", F.col("draw")) % 2 == 0, F.col("src")).otherwise(F.col("dst"))
         drawn = sample(sample(taken.select(old.alias("old"), "draw"), "draw", dists, "outDegree", seed + r, into="outs"), "draw", dists, "inDegree", seed + r, into="ins")
@@ -88,22 +98,27 @@ def kronecker_links(spark, matrix: list[list[float]], iterations: int, seed: int
     wanted = math.floor(sum(p for _, _, p in cells) ** iterations)
     if iterations < 1 or len(cells) ** iterations < wanted:
         raise ValueError("the matrix has too few cells above zero for that many edges")
-    n = max(16, 2 * wanted)
-    while True:
-        tried = kronecker_attempts(spark, matrix, iterations, 0, n, seed).groupBy("src", "dst").agg(F.min("attempt").alias("attempt"))
-        firsts = cut(tried, "attempts")
-        if firsts.count() >= wanted:
-            break
-        n *= 2
-    # the wanted-th smallest attempt, by halving
-    lo, hi = -1, n - 1
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if firsts.where(F.col("attempt") <= mid).count() >= wanted:
-            hi = mid
-        else:
-            lo = mid
-    return firsts.where(F.col("attempt") <= hi).select("src", "dst")
+    n, tried, firsts = 0, max(16, 2 * wanted), None
+    while firsts is None or firsts.count() < wanted:  # only attempts that are new are made
+        fresh = kronecker_attempts(spark, matrix, iterations, n, tried, seed)
+        both = fresh if firsts is None else firsts.select("attempt", "src", "dst").unionByName(fresh)
+        n, tried = n + tried, n + tried
+        firsts = cut(both.groupBy("src", "dst").agg(F.min("attempt").alias("attempt")), "attempts")
+    return firsts.where(F.col("attempt") <= smallest(firsts, "attempt", wanted, n)).select("src", "dst")
+
+
+def smallest(rows: DataFrame, column: str, k: int, below: int, bins: int = 4096) -> int:
+    """The k-th smallest of a column's distinct numbers from 0 to ``below`` - 1, by histograms of ``bins`` bins."""
+    lo, width = 0, below
+    while width > 1:
+        step = -(-width // bins)
+        inside = rows.where((F.col(column) >= lo) & (F.col(column) < lo + width))
+        for r in inside.groupBy(F.floor((F.col(column) - lo) / step).cast("long").alias("bin")).count().orderBy("bin").collect():  # at most ``bins`` rows
+            if k <= r["count"]:
+                lo, width = lo + r["bin"] * step, step
+                break
+            k -= r["count"]
+    return lo
 
 
 def kronecker(spark, matrix: list[list[float]], iterations: int, dists: DataFrame, seed: int = 42) -> DataFrame:

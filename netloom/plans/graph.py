@@ -88,7 +88,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hops(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successive error events as a directed simple graph with cycles.
 
     The next event is the one of the next place in order of time; places are dense ranks
@@ -106,5 +106,5 @@ def hops(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     edge = ranged.groupBy("part").agg(F.min(F.struct("ts", "event_id", "u", "t")).alias("head")).withColumn("next", F.lead("head").over(Window.orderBy("part"))).select("part", "next")
     rows = ranged.withColumn("u2", F.lead("u").over(w)).withColumn("t2", F.lead("t").over(w)).withColumn("last", F.lead("event_id").over(w).isNull()).join(F.broadcast(edge), "part")
     pick = lambda own, name: F.when(F.col("last"), F.col(f"next.{name}")).otherwise(F.col(own))
-    linked = rows.select(F.col("u").alias("src"), pick("u2", "u").alias("dst"), "t", pick("t2", "t").alias("t2"), "event_id").where("t = 'error' and t2 = 'error'")
-    return (linked.where("event_id % 2 = 0") if sparse else linked).select("src", "dst").distinct()
+    linked = rows.select(F.col("u").alias("src"), pick("u2", "u").alias("dst"), "t", pick("t2", "t").alias("t2")).where("t = 'error' and t2 = 'error'")
+    return linked.select("src", "dst").distinct()

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import components, distributions, isomorphism, neighbourhood, paths, rank, synthesis, veracity
-from netloom.plans.graph import PropertyGraph, dense_ids, flows, hops
-from netloom.plans.iterate import cut
+from netloom.plans.graph import EDGE_FIELDS, PROPERTIES, PropertyGraph, dense_ids, flows, hops
+from netloom.plans.iterate import cut, place
+from netloom.sources import graphs
 from netloom.sources.connlog import parse_lines
 from netloom.sources.graphs import edges_as_text
 
@@ -21,14 +23,62 @@ def _flows(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph.of_edges(flows(spark, sf_dir))
 
 
-def _hops(spark: SparkSession, sf_dir: str, sparse: bool = False) -> PropertyGraph:
-    return PropertyGraph.of_edges(cut(hops(spark, sf_dir, sparse), "hops"))
+def _hops(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    return PropertyGraph.of_edges(cut(hops(spark, sf_dir), "hops"))
 
 
 def _first(g: PropertyGraph, column: str = "src") -> int:
     return g.edges.agg(F.min(column)).first()[0]
 
 
+def _path(spark: SparkSession, sf_dir: str, directed: bool) -> DataFrame:
+    g = _hops(spark, sf_dir)
+    return paths.bfs(g, _first(g), g.edges.agg(F.max("dst")).first()[0], directed)
+
+
+def _stored(spark: SparkSession, sf_dir: str, save: Callable, load: Callable) -> DataFrame:
+    """The flows, saved and loaded again."""
+    at = place(spark, "stored")
+    save(_flows(spark, sf_dir), at)
+    return load(spark, at).edges
+
+
+def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the four bulk-import files of the flows, by file."""
+    at = place(spark, "import")
+    graphs.save_import_csv(_flows(spark, sf_dir), at)
+    files = ["nodes_header", "relationships_header", "nodes", "relationships"]
+    return reduce(DataFrame.unionByName, [spark.read.text(f"{at}_{f}").select(F.lit(f).alias("file"), F.col("value").alias("line")) for f in files])
+
+
+def degree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the degrees as key,value files."""
+    at = place(spark, "pairs")
+    graphs.save_pairs(neighbourhood.degree(_flows(spark, sf_dir)), at)
+    return spark.read.text(at).select(F.col("value").alias("line"))
+
+
+def merged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import's relationships, merged to one file and read again."""
+    at = place(spark, "merge")
+    graphs.save_import_csv(_flows(spark, sf_dir), at)
+    graphs.merge_parts(spark, f"{at}_relationships", f"{at}.csv")
+    return spark.read.text(f"{at}.csv").select(F.col("value").alias("line"))
+
+
+def stored_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = place(spark, "distributions")
+    graphs.save_distributions(distributions.data_distributions(_flows(spark, sf_dir)), at)
+    return graphs.load_distributions(spark, at)
+
+
+def generated_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve properties drawn for every edge of the flows."""
+    g = _flows(spark, sf_dir)
+    dists = cut(distributions.data_distributions(g), "dists")
+    return distributions.generate_properties(synthesis.with_edge_ids(g.links), dists, SEED)
+
+
 def _joined(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.array_join(F.transform(column, lambda x: x.cast("string")), ","))
 
@@ -111,33 +161,43 @@ QUERIES: dict[str, Query] = {
     "dense_ids": lambda s, d: dense_ids(_flows(s, d).vertices),
     "multiplicity": lambda s, d: distributions.multiplicity(_flows(s, d)),
     "distributions": lambda s, d: distributions.data_distributions(_flows(s, d)),
-    "distributions_integral": lambda s, d: distributions.data_distributions(_flows(s, d)).where("dist <> 'duration'"),
+    "stored_distributions": stored_distributions,
     "sampled_properties": sampled_properties,
+    "generated_properties": generated_properties,
     "pagerank": lambda s, d: _rounded(rank.pagerank(_hops(s, d), tol=None, max_iter=5), "rank"),
     "pagerank_converged": lambda s, d: _rounded(rank.pagerank(_hops(s, d), normalize=True), "rank", 4),
     "pagerank_step": lambda s, d: _rounded(rank.pagerank_step(_hops(s, d)), "rank", 9),
     "connected_components": lambda s, d: components.connected_components(_hops(s, d)),
     "component_representatives": lambda s, d: components.representatives(components.connected_components(_hops(s, d))),
     "strongly_connected_components": lambda s, d: components.strongly_connected_components(_hops(s, d)),
+    "strong_representatives": lambda s, d: components.representatives(components.strongly_connected_components(_hops(s, d))),
     "triangle_count": lambda s, d: components.triangle_count(_hops(s, d)),
     "directed_triangles": lambda s, d: components.directed_triangles(_hops(s, d)),
-    "bfs": lambda s, d: paths.bfs(g := _hops(s, d), _first(g), g.edges.agg(F.max("dst")).first()[0]).agg(F.max("step").alias("steps")),
+    "bfs": lambda s, d: _path(s, d, True),
+    "bfs_undirected": lambda s, d: _path(s, d, False),
     "sssp": lambda s, d: paths.sssp(g := _hops(s, d), _first(g)),
     "sssp_undirected": lambda s, d: paths.sssp(g := _hops(s, d), _first(g), directed=False).select("id", "dist"),
     "closeness": lambda s, d: _rounded(paths.closeness(g := _hops(s, d), _first(g)), "closeness"),
     "harmonic_closeness": lambda s, d: paths.harmonic_closeness(_hops(s, d)),
-    "betweenness": lambda s, d: _rounded(paths.betweenness(_hops(s, d, sparse=True), 2), "bc"),
-    "betweenness_all": lambda s, d: _rounded(paths.betweenness(_hops(s, d), 2), "bc"),
+    "harmonic_closeness_reach": lambda s, d: _rounded(paths.harmonic_closeness(_hops(s, d), None), "closeness"),
+    "betweenness": lambda s, d: _rounded(paths.betweenness(_hops(s, d), 2), "bc"),
+    "betweenness_3": lambda s, d: _rounded(paths.betweenness(_hops(s, d), 3), "bc"),
     "isomorphism_cycle": lambda s, d: isomorphism.embeddings(_hops(s, d), [(1, 2), (2, 3), (3, 1)]),
-    "isomorphism_path": lambda s, d: isomorphism.embeddings(_hops(s, d, sparse=True), [(1, 2), (2, 3)]),
-    "isomorphism_path_all": lambda s, d: isomorphism.embeddings(_hops(s, d), [(1, 2), (2, 3)]),
+    "isomorphism_path": lambda s, d: isomorphism.embeddings(_hops(s, d), [(1, 2), (2, 3)]),
     "isomorphism_rows": lambda s, d: isomorphism.subgraph_isomorphism(_hops(s, d), [(1, 2), (2, 3), (3, 1)]),
     "degree_veracity": lambda s, d: _rounded(veracity.degree_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")), "veracity", 9),
     "in_degree_veracity": lambda s, d: _rounded(veracity.in_degree_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")), "veracity", 9),
     "out_degree_veracity": lambda s, d: _rounded(veracity.out_degree_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")), "veracity", 9),
     "pagerank_veracity": lambda s, d: veracity.pagerank_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ")),
-    "conn_log": lambda s, d: parse_lines(log_lines(s, d)),
+    "degree_veracity_compat": lambda s, d: _rounded(veracity.degree_veracity(_half(g := _flows(s, d), "SF"), _half(g, "REJ"), "compat"), "veracity", 9),
+    "conn_log": lambda s, d: parse_lines(cut(log_lines(s, d), "lines")),
     "edges_as_text": lambda s, d: edges_as_text(flows(s, d).select("src", "dst")),
+    "property_edges_as_text": lambda s, d: edges_as_text(flows(s, d)),
+    "stored_graph": lambda s, d: _stored(s, d, graphs.save_graph, graphs.load_graph),
+    "stored_text_graph": lambda s, d: _stored(s, d, graphs.save_text, graphs.load_text),
+    "import_files": import_files,
+    "merged_parts": merged_parts,
+    "degree_pairs": degree_pairs,
     "kronecker_links": lambda s, d: synthesis.kronecker_links(s, MATRIX, 8, SEED),
     "kronecker_graph": kro_graph,
     "barabasi_albert": ba_graph,
@@ -156,18 +216,17 @@ _FLOWS = """flows AS (
 v AS (SELECT src AS id FROM flows UNION SELECT dst FROM flows)"""
 
 
-def _hops_sql(extra: str = "") -> str:
-    return f"""hops AS (
+def _hops_sql() -> str:
+    return """hops AS (
     SELECT DISTINCT src, dst FROM (
         SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type AS t1,
-               lead(event_type) OVER (ORDER BY ts, event_id) AS t2, event_id FROM events)
-    WHERE t1 = 'error' AND t2 = 'error'{extra}),
+               lead(event_type) OVER (ORDER BY ts, event_id) AS t2 FROM events)
+    WHERE t1 = 'error' AND t2 = 'error'),
 hv AS (SELECT src AS id FROM hops UNION SELECT dst FROM hops),
 simple AS (SELECT src, dst FROM hops WHERE src <> dst),
 both_ways AS (SELECT src, dst FROM simple UNION SELECT dst, src FROM simple)"""
 
 
-_SPARSE = " AND event_id % 2 = 0"
 _RANDOM = "CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT)"
 
 
@@ -200,10 +259,54 @@ _LEVELS = """WITH RECURSIVE {hops}, s0 AS (SELECT min(src) AS s FROM hops),
     best AS (SELECT id, min(dist) AS dist FROM reach GROUP BY 1)"""
 
 
+def _text(column: str) -> str:
+    """A property in its bucket, as text."""
+    return f'CAST("{column}" - "{column}" % 10 AS VARCHAR)' if column in distributions.BUCKETED else f'CAST("{column}" AS VARCHAR)'
+
+
+def _generated_sql() -> str:
+    """Each property drawn by the number that its edge hashes to, eight of them given the drawn origBytes."""
+    draw = lambda name: _RANDOM.format(key=f"'{SEED}|{name}|' || edge")
+    steps = [_FLOWS, "e AS (SELECT src, dst, src || ':' || dst || ':' || row_number() OVER (PARTITION BY src, dst) AS edge FROM flows)"]
+    for name in distributions.UNCONDITIONAL:
+        steps.append(f"d_{name} AS (SELECT x, n, sum(n) OVER (ORDER BY n DESC, x ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER () AS total FROM (SELECT {_text(name)} AS x, count(*) AS n FROM flows GROUP BY 1))")
+        steps.append(f"s_{name} AS MATERIALIZED (SELECT edge, x FROM (SELECT edge, {draw(name)} % (SELECT max(total) FROM d_{name}) AS u FROM e) q JOIN d_{name} d ON q.u >= d.hi - d.n AND q.u < d.hi)")
+    for name in distributions.CONDITIONAL:
+        steps.append(f"d_{name} AS (SELECT o, x, n, sum(n) OVER (PARTITION BY o ORDER BY n DESC, x ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER (PARTITION BY o) AS total FROM (SELECT {_text('origBytes')} AS o, {_text(name)} AS x, count(*) AS n FROM flows GROUP BY 1, 2))")
+        steps.append(f"t_{name} AS (SELECT o, max(total) AS total FROM d_{name} GROUP BY 1)")
+        steps.append(f"s_{name} AS MATERIALIZED (SELECT edge, d.x FROM (SELECT s.edge, s.x AS o, {draw(name).replace('edge', 's.edge')} % t.total AS u FROM s_origBytes s JOIN t_{name} t ON t.o = s.x) q JOIN d_{name} d ON d.o = q.o AND q.u >= d.hi - d.n AND q.u < d.hi)")
+    kinds = {"bigint": "BIGINT", "int": "INT", "double": "DOUBLE", "string": "VARCHAR"}
+    columns = ", ".join(f'CAST(s_{n}.x AS {kinds[t.simpleString()]}) AS "{n}"' for n, t in EDGE_FIELDS)
+    joins = " ".join(f"JOIN s_{n} ON s_{n}.edge = e.edge" for n, _ in EDGE_FIELDS)
+    return f"WITH {', '.join(steps)} SELECT src, dst, {columns} FROM e {joins}"
+
+
+def _path_sql(links: str) -> str:
+    """From the largest target back to the smallest source, by the smallest vertex before."""
+    levels = _LEVELS.format(hops=_hops_sql(), links=links)
+    return f"""{levels},
+        back(step, id) AS (
+            SELECT dist, id FROM best WHERE id = (SELECT max(dst) FROM hops) AND id <> (SELECT s FROM s0)
+            UNION ALL
+            SELECT b.step - 1, (SELECT min(p.id) FROM best p JOIN {links} e ON e.src = p.id WHERE e.dst = b.id AND p.dist = b.step - 1) FROM back b WHERE b.step > 0)
+        SELECT step::INT AS step, id FROM back"""
+
+
+def _compat_sql() -> str:
+    """Keys of one side only count by their share, not its square; keys are shares of each side's sum."""
+    deg = lambda s: f"(SELECT id, count(*) AS k FROM (SELECT unnest([src, dst]) AS id FROM flows WHERE \"connState\" = '{s}') GROUP BY 1)"
+    side = lambda t: f"(SELECT (k // (SELECT w FROM gap)) * (SELECT w FROM gap)::DOUBLE / (SELECT sum(k) FROM {t}) AS c, count(*) / (SELECT count(*) FROM {t}) AS p FROM {t} GROUP BY 1)"
+    return f"""WITH {_FLOWS}, a AS {deg('SF')}, b AS {deg('REJ')},
+        gap AS (SELECT min(g) AS w FROM (SELECT k - lag(k) OVER (ORDER BY k) AS g FROM (SELECT DISTINCT k FROM a) UNION ALL SELECT k - lag(k) OVER (ORDER BY k) FROM (SELECT DISTINCT k FROM b))),
+        na AS {side('a')}, nb AS {side('b')}
+        SELECT round(sqrt(sum(CASE WHEN na.p IS NULL THEN nb.p WHEN nb.p IS NULL THEN na.p ELSE pow(na.p - nb.p, 2) END)) * (SELECT w FROM gap) / (SELECT sum(k) FROM b), 9) AS veracity
+        FROM na FULL JOIN nb ON na.c = nb.c"""
+
+
 def _distributions_sql() -> str:
-    b = lambda c: f'CAST("{c}" - "{c}" % 10 AS VARCHAR)' if c in distributions.BUCKETED and c != "duration" else f'CAST("{c}" AS VARCHAR)'
+    b = _text
     parts = [f"SELECT '{c}' AS dist, NULL AS cond, {b(c)} AS value FROM flows" for c in distributions.UNCONDITIONAL]
-    parts += [f"SELECT '{c}', {b('origBytes')}, {b(c)} FROM flows" for c in distributions.CONDITIONAL if c != "duration"]
+    parts += [f"SELECT '{c}', {b('origBytes')}, {b(c)} FROM flows" for c in distributions.CONDITIONAL]
     pairs = "(SELECT m, count(*) AS n FROM (SELECT count(*) AS m FROM flows GROUP BY src, dst) GROUP BY 1)"
     return f"""WITH {_FLOWS}, raw AS ({' UNION ALL '.join(parts)}), counts AS (SELECT dist, cond, value, count(*) AS n FROM raw GROUP BY ALL
         UNION ALL SELECT d, NULL, CAST(m AS VARCHAR), n FROM {pairs}, (VALUES ('inDegree'), ('outDegree')) t(d))
@@ -247,7 +350,9 @@ ORACLE_SQL: dict[str, str] = {
     "relabel": f"WITH {_FLOWS}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v) SELECT a.k AS src, b.k AS dst FROM flows JOIN r a ON a.id = src JOIN r b ON b.id = dst",
     "dense_ids": f"WITH {_FLOWS} SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM v",
     "multiplicity": f"WITH {_FLOWS} SELECT n, count(*) AS pairs FROM (SELECT count(*) AS n FROM flows GROUP BY src, dst) GROUP BY 1",
-    "distributions_integral": _distributions_sql(),
+    "distributions": _distributions_sql(),
+    "stored_distributions": _distributions_sql(),
+    "generated_properties": _generated_sql(),
     "sampled_properties": f"""WITH {_FLOWS},
         e AS (SELECT src || ':' || dst || ':' || row_number() OVER (PARTITION BY src, dst) AS edge FROM flows),
         o AS (SELECT CAST("origBytes" - "origBytes" % 10 AS VARCHAR) AS o, CAST("respBytes" - "respBytes" % 10 AS VARCHAR) AS r FROM flows),
@@ -267,17 +372,36 @@ ORACLE_SQL: dict[str, str] = {
     "triangle_count": f"""WITH {_hops_sql()}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM both_ways a JOIN both_ways b ON a.dst = b.src AND a.src < a.dst AND b.src < b.dst JOIN both_ways c ON c.src = a.src AND c.dst = b.dst)
         SELECT hv.id, count(t.x) AS triangles FROM hv LEFT JOIN t ON hv.id IN (t.x, t.y, t.z) GROUP BY 1""",
     "directed_triangles": f"WITH {_hops_sql()} SELECT a.src AS id, count(*) AS triangles FROM simple a JOIN simple b ON a.dst = b.src JOIN simple c ON b.dst = c.src AND c.dst = a.src GROUP BY 1",
-    "bfs": _LEVELS.format(hops=_hops_sql(), links="simple") + " SELECT max(dist)::INT AS steps FROM best WHERE id = (SELECT max(dst) FROM hops) AND dist > 0",
+    "bfs": _path_sql("simple"),
+    "bfs_undirected": _path_sql("both_ways"),
     "sssp": _LEVELS.format(hops=_hops_sql(), links="simple") + " SELECT b.id, b.dist::INT AS dist, (SELECT min(p.id) FROM best p JOIN simple e ON e.src = p.id WHERE e.dst = b.id AND p.dist = b.dist - 1) AS parent FROM best b",
     "sssp_undirected": _LEVELS.format(hops=_hops_sql(), links="both_ways") + " SELECT id, dist::INT AS dist FROM best",
     "closeness": _LEVELS.format(hops=_hops_sql(), links="simple") + " SELECT round(coalesce((SELECT count(*) FROM hv) / nullif(sum(dist), 0), -1.0), 6) AS closeness FROM best",
     "harmonic_closeness": f"WITH {_hops_sql()} SELECT src AS id, count(*)::DOUBLE AS closeness FROM both_ways GROUP BY 1",
-    "betweenness": f"""WITH {_hops_sql(_SPARSE)}, two AS (SELECT a.src AS s, a.dst AS v, b.dst AS t FROM both_ways a JOIN both_ways b ON a.dst = b.src AND a.src <> b.dst
+    "betweenness": f"""WITH {_hops_sql()}, two AS (SELECT a.src AS s, a.dst AS v, b.dst AS t FROM both_ways a JOIN both_ways b ON a.dst = b.src AND a.src <> b.dst
             WHERE NOT EXISTS (SELECT 1 FROM both_ways c WHERE c.src = a.src AND c.dst = b.dst)),
         n AS (SELECT s, t, count(*) AS k FROM two GROUP BY 1, 2)
         SELECT hv.id, round(coalesce(sum(1.0 / n.k), 0), 6) AS bc FROM hv LEFT JOIN two ON two.v = hv.id LEFT JOIN n ON n.s = two.s AND n.t = two.t GROUP BY 1""",
+    "betweenness_3": f"""WITH {_hops_sql()},
+        one AS (SELECT DISTINCT src AS s, dst AS t FROM both_ways),
+        two AS (SELECT a.src AS s, a.dst AS v, b.dst AS t FROM both_ways a JOIN both_ways b ON a.dst = b.src AND a.src <> b.dst
+            WHERE NOT EXISTS (SELECT 1 FROM one c WHERE c.s = a.src AND c.t = b.dst)),
+        three AS (SELECT a.src AS s, a.dst AS v, b.dst AS w, c.dst AS t FROM both_ways a JOIN both_ways b ON a.dst = b.src JOIN both_ways c ON b.dst = c.src
+            WHERE a.src <> c.dst AND NOT EXISTS (SELECT 1 FROM one x WHERE x.s = a.src AND x.t = c.dst) AND NOT EXISTS (SELECT 1 FROM two x WHERE x.s = a.src AND x.t = c.dst)),
+        n2 AS (SELECT s, t, count(*) AS k FROM two GROUP BY 1, 2), n3 AS (SELECT s, t, count(*) AS k FROM three GROUP BY 1, 2),
+        shares AS (
+            SELECT v AS id, 1.0 / k AS x FROM two JOIN n2 USING (s, t)
+            UNION ALL SELECT v, 1.0 / k FROM three JOIN n3 USING (s, t)
+            UNION ALL SELECT w, 1.0 / k FROM three JOIN n3 USING (s, t))
+        SELECT hv.id, round(coalesce(sum(x), 0), 6) AS bc FROM hv LEFT JOIN shares ON shares.id = hv.id GROUP BY 1""",
+    "harmonic_closeness_reach": f"""WITH RECURSIVE {_hops_sql()},
+        reach(s, id, dist) AS (SELECT id, id, 0 FROM hv UNION SELECT r.s, e.dst, r.dist + 1 FROM reach r JOIN both_ways e ON e.src = r.id WHERE r.dist < 40),
+        best AS (SELECT s, id, min(dist) AS dist FROM reach GROUP BY 1, 2)
+        SELECT s AS id, round(sum(1.0 / dist), 6) AS closeness FROM best WHERE dist > 0 GROUP BY 1""",
+    "strong_representatives": f"""WITH RECURSIVE {_hops_sql()}, r(id, x) AS (SELECT id, id FROM hv UNION SELECT r.id, e.dst FROM r JOIN simple e ON e.src = r.x)
+        SELECT DISTINCT component FROM (SELECT a.id, min(a.x) AS component FROM r a JOIN r b ON a.id = b.x AND a.x = b.id GROUP BY 1)""",
     "isomorphism_cycle": f"WITH {_hops_sql()} SELECT a.src AS p1, b.src AS p2, c.src AS p3 FROM simple a JOIN simple b ON a.dst = b.src JOIN simple c ON b.dst = c.src AND c.dst = a.src",
-    "isomorphism_path": f"WITH {_hops_sql(_SPARSE)} SELECT a.src AS p1, a.dst AS p2, b.dst AS p3 FROM simple a JOIN simple b ON a.dst = b.src AND a.src <> b.dst",
+    "isomorphism_path": f"WITH {_hops_sql()} SELECT a.src AS p1, a.dst AS p2, b.dst AS p3 FROM simple a JOIN simple b ON a.dst = b.src AND a.src <> b.dst",
     "isomorphism_rows": f"""WITH {_hops_sql()}, c AS (SELECT a.src AS p1, b.src AS p2, c.src AS p3 FROM simple a JOIN simple b ON a.dst = b.src JOIN simple c ON b.dst = c.src AND c.dst = a.src)
         SELECT md5(p1 || ',' || p2 || ',' || p3) AS subgraph, unnest([1, 2, 3])::BIGINT AS pattern_id, unnest([p1, p2, p3]) AS target_id FROM c""",
     "degree_veracity": _veracity_sql("both"),
@@ -288,5 +412,15 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN "connState" = 'S0' THEN 'UNKNOWN' ELSE "connState" END AS "connState", "origPkts", "origIpBytes", "respPkts", "respIpBytes"
         FROM flows WHERE "origBytes" % 11 <> 0 AND "origBytes" % 7 <> 0""",
     "edges_as_text": f"WITH {_FLOWS} SELECT 'Edge(' || src || ',' || dst || ',null)' AS value FROM flows",
+    "property_edges_as_text": f"""WITH {_FLOWS} SELECT 'Edge(' || concat_ws(',', src, dst) || ',EdgeData(' || concat_ws(',', {', '.join(f'"{n}"' for n in PROPERTIES)}) || '))' AS value FROM flows""",
+    "stored_graph": f"WITH {_FLOWS} SELECT * FROM flows",
+    "stored_text_graph": f"WITH {_FLOWS} SELECT * FROM flows",
+    "import_files": f"""WITH {_FLOWS} SELECT 'nodes_header' AS file, ':ID,:LABEL' AS line
+        UNION ALL SELECT 'relationships_header', ':START_ID,:END_ID,:TYPE,ts:long,origPort:int,respPort:int,proto:string,duration:double,origBytes:long,respBytes:long,connState:string,origPkts:long,origIpBytes:long,respPkts:long,respIpBytes:long'
+        UNION ALL SELECT 'nodes', id || ',Node' FROM v
+        UNION ALL SELECT 'relationships', concat_ws(',', src, dst, 'EDGE', {', '.join(f'"{n}"' for n in PROPERTIES)}) FROM flows""",
+    "merged_parts": f"""WITH {_FLOWS} SELECT concat_ws(',', src, dst, 'EDGE', {', '.join(f'"{n}"' for n in PROPERTIES)}) AS line FROM flows""",
+    "degree_pairs": f"WITH {_FLOWS} SELECT id || ',' || count(*) AS line FROM (SELECT src AS id FROM flows UNION ALL SELECT dst FROM flows) GROUP BY id",
+    "degree_veracity_compat": _compat_sql(),
     "kronecker_links": _kronecker_sql(8),
 }

@@ -13,10 +13,16 @@ COLUMNS = {"ts": 0, "src": 2, "origPort": 3, "dst": 4, "respPort": 5, "proto": 6
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Edges of lines (value). Blank lines, comments, IPv6 and all but tcp and udp are left out."""
-    cells = F.split("value", "\t")
-    at = {name: F.coalesce(F.get(cells, F.lit(k)), F.lit("")) for name, k in COLUMNS.items()}
+    """Edges of lines (value). Blank lines, comments, IPv6 and all but tcp and udp are left out.
+
+    A line is parsed once, to a struct of text fields; missing ones are empty.
+    """
+    width = max(COLUMNS.values()) + 1
+    fields = ", ".join(f"c{k} string" for k in range(width))
     kept = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    # generator output is a column of its own: no field parses the line anew
+    kept = kept.select(F.inline(F.array(F.from_csv("value", fields, {"sep": "\t", "quote": "", "escape": "", "nullValue": "\u0000", "emptyValue": ""}))))
+    at = {name: F.coalesce(F.col(f"c{k}"), F.lit("")) for name, k in COLUMNS.items()}
     kept = kept.where(S.is_ipv4(at["src"]) & S.is_ipv4(at["dst"]) & S.is_tcp_or_udp(at["proto"]))
     long = lambda n: S.number(at[n], "long").alias(n)
     return kept.select(

@@ -9,7 +9,6 @@ import netloom.queries as Q
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-SLOW = {"pagerank", "strongly_connected_components", "component_representatives"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query(spark, db, name):
     ours = Q.QUERIES[name](spark, DATA)
     columns = sorted(ours.columns)
@@ -41,9 +40,9 @@ def test_queries_over_all_hops(spark):
             if s != t and t not in near[s]:
                 for v in middle:
                     want[v] += 1 / len(middle)
-    got = {r.id: r.bc for r in Q.QUERIES["betweenness_all"](spark, DATA).collect()}
+    got = {r.id: r.bc for r in Q.QUERIES["betweenness"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-5 for v in want)
-    paths = sorted(tuple(r[f"p{k}"] for k in (1, 2, 3)) for r in Q.QUERIES["isomorphism_path_all"](spark, DATA).collect())
+    paths = sorted(tuple(r[f"p{k}"] for k in (1, 2, 3)) for r in Q.QUERIES["isomorphism_path"](spark, DATA).collect())
     assert paths == sorted((a, b, d) for a, b in simple for c, d in simple if b == c and a != d)
 
 
