@@ -6,10 +6,10 @@ source's ratio target/size says how often its documents are repeated whole; the
 remaining fraction is taken from a seeded random order of its documents, the last of
 them in part, so that each source's taken words equal its rounded target.
 
-The random order is never sorted for a whole source: hashes fall in ``BUCKETS``
-ranges, sums per range find the one range in which the fraction ends, and only that
-range's documents are ordered. A source with a third of all rows is thus summed on
-the map side and cut in ``BUCKETS`` parts.
+The random order is never sorted for a whole source: hashes fall in buckets, sums per
+bucket find the one bucket in which the fraction ends, and only that bucket's documents
+are ordered. There are ``BUCKETS`` of them, or one for each ``BUCKET_ROWS`` rows of the
+table where that is more, so a bucket does not grow with the corpus.
 
 Edge cases: null text has size 0; null sources form one source, last in order;
 repeated rows are documents of their own; an empty table gives an empty table; if all
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import map_arrow, packed, shared_table, shuffle_partitions, text_bytes, unpacked
 
-BUCKETS = 1024
+BUCKETS, BUCKET_ROWS = 1024, 100_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -73,14 +73,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     takes of the document, repeats counted; it is at most ceil(max_epochs) * size.
     """
     sizes = shared_table(word_counts(docs), "sizes")
-    total = (sizes.agg(F.sum("size")).first()[0] or 0) * share
+    words, n = sizes.agg(F.sum("size"), F.count("*")).first()
+    total, buckets = (words or 0) * share, max(BUCKETS, n // BUCKET_ROWS)
     targets = shared_table(water_fill(shared_table(ranked_sources(sizes, weights), "ranked"), total, max_epochs), "targets")
     goal = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("whole", whole).withColumn("extra", goal - F.col("whole") * F.col("source_size"))
 
     order = F.xxhash64(F.lit(seed), "source", "doc_id")
-    cells = sizes.withColumn("order", order).withColumn("cell", F.pmod("order", F.lit(BUCKETS)))
+    cells = sizes.withColumn("order", order).withColumn("cell", F.pmod("order", F.lit(buckets)))
     sums = cells.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     running = sums.withColumn("upto", F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell")))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .select("source", F.col("end.cell").alias("end_cell"), F.col("end.left").alias("left"))
     )
     plan = shared_table(
-        plan.alias("p").join(ends.alias("e"), same("p", "e"), "left").select("p.*", F.coalesce("end_cell", F.lit(BUCKETS).cast("long")).alias("end_cell"), F.coalesce("left", F.lit(0)).alias("left")), "plan"
+        plan.alias("p").join(ends.alias("e"), same("p", "e"), "left").select("p.*", F.coalesce("end_cell", F.lit(buckets).cast("long")).alias("end_cell"), F.coalesce("left", F.lit(0)).alias("left")), "plan"
     )
     rows = cells.alias("c").join(plan.alias("p"), same("c", "p")).select("doc_id", "size", "p.source", "source_size", "target", "whole", "order", "cell", "end_cell", "left")
     inside = rows.where("cell <> end_cell").withColumn("extra", F.when(F.col("cell") < F.col("end_cell"), F.col("size")).otherwise(0))

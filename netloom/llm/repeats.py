@@ -43,7 +43,7 @@ from netloom.llm.suffixes import common_prefixes, suffix_array
 LENGTH = 400
 GRAM = 64
 BLOCK, BLOCK_BYTES = 2048, 8_000_000
-PASSAGE, NOISE = 50, 40
+PASSAGE, NOISE = 50, 30
 SHARD_BYTES = 2_000_000
 _STEP = 1 << 20
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -158,8 +158,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     runs = shared_table(all_runs(docs, length), "runs")
     often = runs.groupBy("h").agg(F.sum("times").alias("n"), F.count("*").alias("rows")).where("n > 1").select("h", "rows")
-    some = shared_table(skew_join(runs, shared_table(often, "often"), "h", "rows").drop("rows"), "candidates")
+    often = shared_table(often, "often")
+    some = shared_table(skew_join(runs, often, "h", "rows").drop("rows"), "candidates")
     drop_table(runs)
+    drop_table(often)
     kind = ["h", "c", "d"]
     kinds = some.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("at"))
     kinds = shared_table(kinds.select(*kind, "n", "at.*"), "kinds")
@@ -208,7 +210,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     parts = max(shuffle_partitions(spark), 1)
     part = sharded.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(judge, spark_schema("doc_id long, tk long, lo long, hi long"))
-    return shared_table(whole.unionByName(part), "spans")
+    spans = shared_table(whole.unionByName(part), "spans")
+    for t in (some, kinds, open_):
+        drop_table(t)
+    return spans
 
 
 class Winnow:
@@ -269,7 +274,10 @@ def shared_passages(docs: DataFrame, passage: int = PASSAGE, noise: int = NOISE)
     marks = map_arrow(_rows(docs), batch, "doc_id long, tk long, mark long", lambda: Winnow(passage, noise))
     marks = shared_table(marks, "marks")
     often = shared_table(marks.groupBy("mark").agg(F.count("*").alias("rows")).where("rows > 1"), "often")
-    return skew_join(marks, often, "mark", "rows").select("doc_id", "tk").distinct()
+    found = shared_table(skew_join(marks, often, "mark", "rows").select("doc_id", "tk").distinct(), "shared")
+    drop_table(marks)
+    drop_table(often)
+    return found
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
@@ -289,9 +297,10 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int,
 
 def _with_spans(docs: DataFrame, length: int, passages: bool = False) -> DataFrame:
     """(doc_id, text, spans, shares): shares is true for rows that share a passage, if asked for."""
+    shared = shared_passages(docs) if passages else None  # before the spans, so that its tables are gone when theirs come
     found = repeated_spans(docs, length).distinct().withColumn("shares", F.lit(False))
-    if passages:
-        found = found.unionByName(shared_passages(docs).withColumn("shares", F.lit(True)), allowMissingColumns=True)
+    if shared is not None:
+        found = found.unionByName(shared.withColumn("shares", F.lit(True)), allowMissingColumns=True)
     spans = F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi")))
     spans = found.groupBy("doc_id", "tk").agg(spans.alias("spans"), F.max("shares").alias("shares")).alias("s")
     keyed = map_arrow(_rows(docs), lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_key(t) for t in text_bytes(b.column(1))], pa.int64())], ["doc_id", "text", "tk"]), "doc_id long, text string, tk long").alias("d")

@@ -27,7 +27,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from struct import pack
 
 import numpy as np
@@ -37,8 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.bpe import read_spec
-from netloom.llm.common import scratch_path, shared_table, shuffle_partitions, spark_schema, text_bytes
+from netloom.llm.bpe import checked, read_spec
+from netloom.llm.common import give_back, scratch_path, shared_table, shuffle_partitions, slices, spark_schema, text_bytes
 
 MAGIC = b"NLTOKS01"
 END_ID = 2
@@ -187,6 +187,16 @@ class Shard:
     def ids(self, start: int, length: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at(int(length) * self.width, int(start) * self.width), f"<u{self.width}")
 
+    def runs(self, start: np.ndarray, length: np.ndarray, most: int = 8 << 20) -> Iterator[np.ndarray]:
+        """The ids of documents that follow each other in the file, read many at a time: about ``most`` bytes."""
+        end = np.cumsum(length.astype("i8"))
+        at = 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most // self.width, "right")))
+            ids = self.ids(start[at], int(end[to - 1] - (end[at - 1] if at else 0)))
+            yield from np.split(ids, (end[at : to - 1] - (end[at - 1] if at else 0)))
+            at = to
+
     def get(self, doc_id: int | None, turn: int = 0) -> np.ndarray | None:
         """The ids of a document, or None if the shard does not hold it."""
         found, start, length = self.find(key_of(np.array([doc_id or 0]), np.array([doc_id is not None]), np.array([turn])))
@@ -260,11 +270,14 @@ class LibraryEncoder:
 def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` in ascending id order to shards in ``folder``; returns the manifest.
 
-    Manifest: part, uri, n_docs, n_ids, first_id (ids in all shards before it).
+    Manifest: part, uri, n_docs, n_ids, low and high (its smallest and largest id, null if
+    it has none), first_id (ids in all shards before it).
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(path))
-    width = 2 if max(max(json.loads(spec.value)["model"]["vocab"].values()), end_id, *[t["id"] for t in json.loads(spec.value)["added_tokens"]]) < 1 << 16 else 4
+    data = checked(spec.value)
+    width = 2 if max(*data["model"]["vocab"].values(), end_id, *[t["id"] for t in data["added_tokens"]]) < 1 << 16 else 4
+    columns = "part long, uri string, n_docs long, n_ids long, low long, high long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
@@ -272,23 +285,28 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             return
         context, encoder = TaskContext.get(), LibraryEncoder.of(spec.value)
         uri = f"{folder}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.tok"
-        end = np.array([end_id], "<u4").tobytes()
+        end, ends = np.array([end_id], "<u4").tobytes(), []
 
         def rows():
-            yield convert(first)
-            for b in batches:
-                yield convert(b)
+            for batch in chain([first], batches):
+                for b in slices(batch):
+                    yield convert(b)
 
         def convert(b: pa.RecordBatch):
+            known = b.column(0).drop_null()
+            if len(known):
+                ends.extend([known[0].as_py(), known[-1].as_py()])  # rows come in order of their ids
             return b.column(0).to_pylist(), [np.frombuffer(encoder.encode(t) + end, "<u4") for t in text_bytes(b.column(1))]
 
         n_docs, n_ids = write_shard(uri, rows(), width)
-        yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int64()), pa.array([uri]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "uri", "n_docs", "n_ids"])
+        row = (context.partitionId(), uri, n_docs, n_ids, min(ends, default=None), max(ends, default=None))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string() if k == 1 else pa.int64()) for k, x in enumerate(row)], [c.split()[0] for c in columns.split(", ")])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = shards or shuffle_partitions(spark)
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = shared_table(ordered.mapInArrow(write, spark_schema("part long, uri string, n_docs long, n_ids long")), "manifest")
+    manifest = shared_table(ordered.mapInArrow(write, spark_schema(columns)), "manifest")
     # a row per shard
     return manifest.withColumn("first_id", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
@@ -303,7 +321,9 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 found, start, length = shard.find(key_of(shard.doc_id, shard.valid, turns(shard.doc_id, shard.valid)))
                 if not found.all():
                     raise ValueError(f"{row['uri']}: a key of the shard is not in its index")
-                sums = np.array([zlib.crc32(shard.ids(s, n).astype("<u4").tobytes()) for s, n in zip(start, length, strict=True)], "i8")
+                if (start[1:] != start[:-1] + length[:-1]).any():
+                    raise ValueError(f"{row['uri']}: documents do not follow each other")
+                sums = np.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.runs(start, length)], "i8")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard.doc_id, pa.int64(), mask=~shard.valid), pa.array(start.astype("i8") + row["first_id"]), pa.array(length.astype("i8")), pa.array(sums)], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
@@ -315,21 +335,10 @@ def read_store(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the wanted ids; each shard answers for the ids inside its range.
 
-    The shards' bounds (a row per shard) are read by tasks and broadcast; each wanted id
-    then finds its shard by bisection, and shards are opened where their ids have met.
+    The manifest's bounds (a row per shard) are broadcast; each wanted id finds its shard
+    by bisection, and only shards that hold wanted ids are opened.
     """
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                s = Shard(row["uri"])
-                ids = s.doc_id[s.valid]
-                if len(ids):
-                    out.append((row["uri"], int(ids.min()), int(ids.max())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["uri", "low", "high"])
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -343,7 +352,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     spark = manifest.sparkSession
-    found = sorted((r["low"], r["high"], r["uri"]) for r in manifest.select("uri").mapInArrow(bounds, spark_schema("uri string, low long, high long")).collect())
+    found = sorted((r["low"], r["high"], r["uri"]) for r in manifest.where("low is not null").select("low", "high", "uri").collect())  # a row per shard
     shared = spark.sparkContext.broadcast(found)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,10 @@
 
 Lexicon. Words and word beginnings that stand in toxic training texts in many
 different contexts (counted by the word before them, so that copies of one text count
-once) and hardly in clean ones. At most ``MAX_TERMS`` terms are kept.
+once) and hardly in clean ones, counted over every labelled row that is not held out. A
+term needs ``MIN_CONTEXTS`` and a ``MIN_SHARE`` of the toxic texts; as a text adds to the
+count of its own words only, there are at most (distinct words of a toxic text on
+average) / MIN_SHARE words, however many rows there are, and that bounds the broadcast.
 
 Matching. A text's word is turned into a Levenshtein automaton that walks the lexicon
 trie: whole-word terms of four letters or more match with one edit, also those that
@@ -11,9 +14,8 @@ remembers the words it has met.
 
 Scoring. A match inside quotation marks counts as quoted, else as used; the window of
 words around it adds its neighbours that match too. A logistic regression
-over these counts gives the score. It is fitted on at most ``MAX_TRAINING_ROWS``
-labelled rows (chosen by a hash of the id), none of them held out; the rest of the
-table plays no part in the fit, and every text is scored.
+over these counts gives the score. Its weights alone are fitted on at most
+``MAX_TRAINING_ROWS`` labelled rows (chosen by a hash of the id), none of them held out.
 
 Edge cases: a null or empty text has no match and gets the score of no match; null
 labels do not train; without both labels in the training rows every score is the
@@ -23,6 +25,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,10 +39,9 @@ from pyspark.sql import functions as F
 from netloom.llm.common import map_arrow, spark_schema
 
 MAX_TRAINING_ROWS = 20_000
-MAX_TERMS = 2_000
 WINDOW = 8
 CACHE = 400_000
-MIN_CONTEXTS, MIN_ODDS = 6, 2.5
+MIN_CONTEXTS, MIN_SHARE, MIN_ODDS = 6, 0.0005, 2.5
 LEAST = 4  # letters of a term that matches with an edit
 _WORD = re.compile(r"\w+|[\"«»„“”‹›]")
 _OPEN, _CLOSE = set("«„“‹\""), set("»”“›\"")
@@ -202,20 +204,19 @@ def remainder(doc_id: int | None, of: int = 3) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % of
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 1, of: int = 3, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(text, toxic) of at most about ``most`` labelled rows that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 1, of: int = 3, most: int | None = None) -> DataFrame:
+    """(text, toxic) of the labelled rows that are not held out, or of about ``most`` of them."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     marked = marked.where((F.pmod(F.crc32(key.cast("binary")), F.lit(of)) != held_out) & F.col("doc_id").isNotNull())
-    n = marked.count()
-    if n > most:
+    if most is not None and (n := marked.count()) > most:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.join(marked, "doc_id").select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> list[Term]:
-    """At most MAX_TERMS terms, those of most contexts first."""
+    """The terms, those of most contexts first."""
 
     def contexts(b: pa.RecordBatch) -> pa.RecordBatch | None:
         word, before, toxic, first = [], [], [], []
@@ -235,17 +236,18 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     y = F.col("toxic") == 1
     n = rows.agg(F.sum(F.col("toxic")).alias("t"), F.count("*").alias("n")).first()
     bad, good = n["t"] or 0, (n["n"] or 0) - (n["t"] or 0)
+    least = max(MIN_CONTEXTS, math.ceil(MIN_SHARE * bad))
     per_pair = pairs.groupBy("word", "before", "toxic").agg(F.count("*").alias("k"), F.sum("first").alias("d"))
     per_word = per_pair.groupBy("word").agg(F.sum(y.cast("long")).alias("contexts"), F.sum(F.when(y, F.col("d")).otherwise(0)).alias("d"), F.sum(F.when(y, 0).otherwise(F.col("k"))).alias("c"))
     per_word = per_word.withColumn("t", F.least("contexts", "d"))
     odds = F.log((F.col("t") + 0.5) / (bad + 1.0)) - F.log((F.col("c") + 0.5) / (good + 1.0))
-    chosen = (F.col("t") >= MIN_CONTEXTS) & (odds >= MIN_ODDS) & (F.length("term") >= 3)
+    chosen = (F.col("t") >= least) & (odds >= MIN_ODDS) & (F.length("term") >= 3)
     per_word = per_word.where("word is not null").cache()
     starts = per_word.select(F.explode(F.transform(F.sequence(F.lit(3), F.lit(8)), lambda k: F.substring("word", F.lit(1), k))).alias("term"), "word", "t", "c").where(F.length("word") > F.length("term"))
     starts = starts.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") >= 2).cast("long")).alias("forms")).where(chosen & (F.col("forms") >= 5))
     whole = per_word.withColumnRenamed("word", "term").where(chosen)
     both = whole.select("term", "t", "c", F.lit(False).alias("beginning")).unionByName(starts.select("term", "t", "c", F.lit(True).alias("beginning")))
-    terms = [(r["term"], r["beginning"], r["odds"]) for r in both.withColumn("odds", odds).orderBy(F.desc("t"), "term", "beginning").limit(MAX_TERMS).collect()]
+    terms = [(r["term"], r["beginning"], r["odds"]) for r in both.withColumn("odds", odds).orderBy(F.desc("t"), "term", "beginning").collect()]
     per_word.unpersist()
     return terms
 
@@ -265,8 +267,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, of: int = 3, most: int = MAX_TRAINING_ROWS) -> tuple[list[Term], np.ndarray]:
+    terms = learn_lexicon(training_rows(docs, labels, held_out, of))
     rows = training_rows(docs, labels, held_out, of, most)
-    terms = learn_lexicon(rows)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def batch(b: pa.RecordBatch, m: Matcher) -> pa.RecordBatch:
