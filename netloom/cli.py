@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 
 from netloom.metrics import Timer
 from netloom.operators import distributions, synthesis
-from netloom.operators.veracity import METRICS
+from netloom.operators.veracity import METRICS, VALUES, histograms
+from netloom.plans.graph import PropertyGraph
+from netloom.plans.iterate import cut
 from netloom.plans.workloads import WORKLOADS
 from netloom.sources import graphs
 from netloom.sources.connlog import read_log
@@ -44,11 +46,44 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--source", type=int, default=0)
     a.add_argument("--target", type=int, default=0)
     a.add_argument("--pattern", help="edges as a-b,b-c")
-    for q in sub.choices.values():
+    a.add_argument("--backend", choices=["spark"], default="spark", help="where workloads run")
+    savers, loaders = [k for k in graphs.SAVERS if k != "text"], [k for k in graphs.LOADERS if k != "neo4j"]
+    for name, q in sub.choices.items():
         q.add_argument("--overwrite", action="store_true")
+        q.add_argument("-p", "--partitions", type=int, help="shuffle partitions, and the most partitions of a loaded graph")
+        q.add_argument("--debug", action="store_true", help="log what Spark does")
+        if name != "seed":
+            q.add_argument("-r", "--loader", choices=loaders, default="spark")
+        if name in ("seed", "synth"):
+            q.add_argument("-w", "--saver", choices=savers, default="spark")
+            q.add_argument("-t", "--as-text", choices=["spark", "none"], default="none", help="save the graph as text, too")
+        if name in ("synth", "veracity"):
+            q.add_argument("--csv", help="prefix of the compared distributions as key,value files")
     return p
 
 
+def _load(spark: SparkSession, o: argparse.Namespace, prefix: str) -> PropertyGraph:
+    g = graphs.LOADERS[o.loader](spark, prefix)
+    return PropertyGraph(g.vertices.coalesce(o.partitions), g.edges.coalesce(o.partitions)) if o.partitions else g
+
+
+def _save(g: PropertyGraph, o: argparse.Namespace, prefix: str) -> None:
+    if graphs.SAVERS[o.saver]:
+        graphs.SAVERS[o.saver](g, prefix, o.overwrite)
+    if o.as_text == "spark":
+        graphs.save_text(g, prefix, o.overwrite)
+
+
+def _veracity(seed: PropertyGraph, synth: PropertyGraph, names: list[str], o: argparse.Namespace, timer: Timer) -> None:
+    for name in _named(names, METRICS):
+        with timer.timed(name):
+            print(name, METRICS[name](seed, synth).first()[0])
+            if o.csv:
+                values, column = VALUES[name]
+                for side, rows in zip(("g1", "g2"), histograms(values(seed), values(synth), column), strict=True):
+                    graphs.save_pairs(rows, f"{o.csv}_{name}_dist.{side}.csv", o.overwrite)
+
+
 def _named(asked: list[str], known: dict) -> list[str]:
     return list(known) if "all" in asked else asked
 
@@ -56,30 +91,30 @@ def _named(asked: list[str], known: dict) -> list[str]:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[tuple[str, float]]:
     o = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("netloom").getOrCreate()
+    if o.debug:
+        spark.sparkContext.setLogLevel("INFO")
+    if o.partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(o.partitions))
     timer = Timer()
     if o.mode == "seed":
         with timer.timed("seed"):
             g = read_log(spark, o.log)
-            graphs.save_graph(g, o.graph, o.overwrite)
-            graphs.save_distributions(distributions.data_distributions(graphs.load_graph(spark, o.graph), o.bucket_size), o.distributions, o.overwrite)
+            g = PropertyGraph.of_edges(cut(g.edges, "seed"))  # the log is parsed once
+            _save(g, o, o.graph)
+            graphs.save_distributions(distributions.data_distributions(g, o.bucket_size), o.distributions, o.overwrite)
     elif o.mode == "synth":
         if o.method == "kro" and not o.matrix:
             raise SystemExit("kro needs --matrix")
         with timer.timed("synth"):
-            g = graphs.load_graph(spark, o.graph)
+            g = _load(spark, o, o.graph)
             options = {"iterations": o.iterations} | ({"fraction": o.fraction} if o.method == "ba" else {"matrix": graphs.load_matrix(spark, o.matrix)})
             made = synthesis.synthesize(g, o.method, not o.exclude_properties, o.seed, graphs.load_distributions(spark, o.distributions), **options)
-            graphs.save_graph(made, o.out, o.overwrite)
-        for name in _named(o.metrics, METRICS):
-            with timer.timed(name):
-                print(name, METRICS[name](g, made).first()[0])
+            _save(made, o, o.out)
+        _veracity(g, made, o.metrics, o, timer)
     elif o.mode == "veracity":
-        a, b = graphs.load_graph(spark, o.seed_graph), graphs.load_graph(spark, o.synth_graph)
-        for name in _named(o.metrics, METRICS):
-            with timer.timed(name):
-                print(name, METRICS[name](a, b).first()[0])
+        _veracity(_load(spark, o, o.seed_graph), _load(spark, o, o.synth_graph), o.metrics, o, timer)
     else:
-        g = graphs.load_graph(spark, o.graph)
+        g = _load(spark, o, o.graph)
         pattern = [tuple(map(int, e.split("-"))) for e in o.pattern.split(",")] if o.pattern else [(1, 2), (2, 3), (3, 1)]
         options = {"source": o.source, "target": o.target, "pattern": pattern} | ({"iterations": o.iterations} if o.iterations else {})
         for name in _named(o.names, WORKLOADS):

@@ -59,6 +59,14 @@ def veracity(seed: DataFrame, synth: DataFrame, column: str, mode: str = "strict
     return euclidean(a, b, on, mode).select((F.col("distance") * F.lit(bucket / total)).alias("veracity"))
 
 
+def histograms(seed: DataFrame, synth: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(key, p) of both sides: what :func:`veracity` compares."""
+    gaps = [x for x in (smallest_gap(seed, column), smallest_gap(synth, column)) if x is not None]
+    if not gaps:
+        raise ValueError("neither graph has two distinct values")
+    return tuple(normalized(df, column, min(gaps)).select("key", "p") for df in (seed, synth))
+
+
 def degree_veracity(seed: PropertyGraph, synth: PropertyGraph, mode: str = "strict") -> DataFrame:
     return veracity(neighbourhood.degree(seed), neighbourhood.degree(synth), "degree", mode)
 
@@ -76,3 +84,8 @@ def pagerank_veracity(seed: PropertyGraph, synth: PropertyGraph, mode: str = "st
 
 
 METRICS = {"degree": degree_veracity, "in-degree": in_degree_veracity, "out-degree": out_degree_veracity, "pagerank": pagerank_veracity}
+
+#: metric -> (values of a graph, their column)
+VALUES = {
+    "degree": (neighbourhood.degree, "degree"), "in-degree": (neighbourhood.in_degree, "degree"), "out-degree": (neighbourhood.out_degree, "degree"), "pagerank": (lambda g: rank.pagerank(g, 0.001), "rank"),
+}

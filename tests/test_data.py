@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom import cli, queries
+from netloom import cli, metrics, queries
 from netloom.functions import scalar as S
 from netloom.metrics import Timer, executor_metrics, graphite_lines
 from netloom.operators import distributions as D
@@ -202,3 +202,36 @@ def test_metrics(spark):
         pass
     assert timer.frame(spark).count() == 1 and executor_metrics(spark).count() == 0
     assert graphite_lines([{"id": "1", "totalCores": 4, "hostPort": "h"}], 9) == ["spark.1.totalCores 4 9"]
+
+
+def test_cli_savers_loaders_and_distributions(spark, tmp_path):
+    p = str(tmp_path)
+    lines = ["\t".join(["1.5", "u", f"10.0.0.{i % 7}", "1", f"10.0.1.{i % 5 if i % 2 else 0}", "2", "tcp", "-", "1", str(i % 3), "4", "SF", "-", "-", "0", "D", "1", "2", "3", "4"]) for i in range(80)]
+    (tmp_path / "log").write_text("\n".join(lines))
+    cli.main(["seed", f"{p}/log", "-g", f"{p}/g", "-d", f"{p}/d", "-w", "none", "-t", "spark"], spark)
+    assert not (tmp_path / "g_edges").exists() and spark.read.text(f"{p}/g_edges_text").count() == 80
+    cli.main(["synth", "ba", "-g", f"{p}/g", "-d", f"{p}/d", "-o", f"{p}/s", "-i", "1", "-f", "0.9", "-x", "-r", "text", "-w", "neo4j", "-t", "spark", "--metrics", "degree", "--csv", f"{p}/v"], spark)
+    assert spark.read.text(f"{p}/s_relationships").count() > 80
+    shares = [sum(float(r.value.split(",")[1]) for r in spark.read.text(f"{p}/v_degree_dist.{side}.csv").collect()) for side in ("g1", "g2")]
+    assert all(abs(x - 1) < 1e-9 for x in shares)
+    cli.main(["veracity", f"{p}/g", f"{p}/s", "-r", "text", "--metrics", "in-degree"], spark)
+    with pytest.raises(SystemExit):
+        cli.main(["workload", f"{p}/g", "degree", "--backend", "other"], spark)
+
+
+def test_poll_sends_host_figures(spark):
+    sent = []
+    metrics.poll(spark, sent.extend, seconds=0.05, rounds=2)
+    names = {x.split()[0].rpartition(".")[2] for x in sent}
+    assert set(metrics.HOST_FIELDS) <= names and all(len(x.split()) == 3 for x in sent)
+    row = metrics.host_metrics(spark, 0.05).first()
+    assert abs(row.cpuUsage + row.cpuIdle - 100) < 1e-6 and 0 < row.memoryAvailable <= row.memoryTotal
+
+
+def test_poisson_bounds_reach_the_last_draw():
+    for mean in (0.0, 0.1, 1.0, 20.0, 100.0):
+        bounds = Y.poisson_bounds(mean)
+        assert bounds == sorted(bounds) and all(0 <= x < 1 for x in bounds)
+        mean_of = sum(1 - x for x in bounds)  # E N = sum of P(N >= k)
+        assert abs(mean_of - mean) < 1e-9 * max(1, mean)
+        assert not bounds or bounds[-1] > 1 - 1e-12
