@@ -237,6 +237,19 @@ def contexts(docs: DataFrame, own: list[bytes], class_of: np.ndarray, classes: i
     return _rows(docs).mapInArrow(count, spark_schema("word binary, code int, n long"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Batches put together to about ``rows`` rows."""
+    some, n = [], 0
+    for b in batches:
+        some.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(some)
+            some, n = [], 0
+    if n:
+        yield pa.Table.from_batches(some)
+
+
 def assigned(rows: DataFrame, g: np.ndarray, classes: int) -> DataFrame:
     """(word, c, klass) of :func:`contexts`: each word's count and its class of greatest gain."""
 
@@ -261,12 +274,10 @@ def assigned(rows: DataFrame, g: np.ndarray, classes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([words.dictionary[: len(c)], pa.array(c), pa.array(klass.astype("i4"))], ["word", "c", "klass"]), rest
 
         held: pa.Table | None = None
-        for b in batches:
-            if b.num_rows:
-                t = pa.Table.from_batches([b])
-                out, held = judged(t if held is None else pa.concat_tables([held.cast(t.schema), t]), False)
-                if out is not None:
-                    yield out
+        for t in gathered(batches):
+            out, held = judged(t if held is None else pa.concat_tables([held.cast(t.schema), t]), False)
+            if out is not None:
+                yield out
         if held is not None:
             yield judged(held, True)[0]
         give_back()

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What an operator takes of an Arrow batch at a time; longer texts come alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1_000
+_BATCH, _USUAL = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,6 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/netloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` in this session, unless it has a size of its own.
+
+    Spark's usual 10,000 texts stand in the JVM and in the Python worker of every task.
+    """
+    if spark.conf.get(_BATCH) == _USUAL:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -59,6 +70,7 @@ def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
     next plan real sizes to choose joins by.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -127,6 +139,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
         state = part = batch = out = None
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, spark_schema(ddl))
 
 
