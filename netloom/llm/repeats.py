@@ -223,12 +223,7 @@ class Winnow:
 
     def __init__(self, passage: int = PASSAGE, noise: int = NOISE):
         self.passage, self.noise = passage, noise
-        r = np.random.default_rng(23)
-        self.code = r.integers(1, 1 << 63, 256, dtype="u8")
-        self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.code[self.space] = self.code[32]
-        self.code[65:91] = self.code[97:123]
+        self.table = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
         self.base = 0x9E3779B97F4A7C15
         self.power = self.inverse = np.ones(1, "u8")
 
@@ -242,22 +237,25 @@ class Winnow:
                 self.power, self.inverse = (np.multiply.accumulate(s) for s in steps)
 
     def of(self, text: bytes) -> np.ndarray:
-        data = np.frombuffer(text, "u1")
-        gap = np.concatenate([[True], self.space[data], [True]])
-        start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        data = np.frombuffer(text.translate(self.table), "u1")
+        gap = np.ones(len(data) + 2, bool)
+        np.equal(data, 32, out=gap[1:-1])
+        turn = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = turn[::2], turn[1::2]
         found = [np.zeros(0, "u8")]
         for at in range(0, max(0, len(start) - self.passage + 1), self.STEP):
             s, e = start[at : at + self.STEP + self.passage - 1], end[at : at + self.STEP + self.passage - 1]
             first, size = int(s[0]), int(e[-1] - s[0])
             self._powers(size + 1)
             with np.errstate(over="ignore"):
-                sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(self.code[data[first : first + size]] * self.power[:size], dtype="u8")])
+                sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(data[first : first + size] * self.power[:size], dtype="u8")])
                 s, e = s - first, e - first
                 n = len(s) - self.noise + 1
                 h = (sums[e[self.noise - 1 :]] - sums[s[:n]]) * self.inverse[s[:n]]
                 h = (h ^ (h >> np.uint64(32))) * _MULTIPLIERS[1]
                 h ^= h >> np.uint64(29)
-            found.append(np.unique(window_minima(h, self.passage - self.noise + 1)))
+            m = window_minima(h, self.passage - self.noise + 1)
+            found.append(m[np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))])
         return np.unique(np.concatenate(found))
 
 
