@@ -12,10 +12,12 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators import reach
 from netloom.plans.graph import PropertyGraph
-from netloom.plans.iterate import cut
+from netloom.plans.iterate import cut, discard, place
 
 BLOCK = 100_000
+IN_MEMORY, PAIRS = 8_000_000, 100_000_000
 
 
 def sssp(g: PropertyGraph, source: int, directed: bool = True, until: int | None = None, cutoff: int | None = None) -> DataFrame:
@@ -64,15 +66,27 @@ def closeness(g: PropertyGraph, vertex: int, directed: bool = True) -> DataFrame
 def harmonic_closeness(g: PropertyGraph, hops: int | None = 1, block: int = BLOCK) -> DataFrame:
     """(id, closeness): the sum of 1/dist over what a vertex reaches undirected within ``hops``, all of it if None.
 
-    Vertices that reach none are left out. Sources go in blocks of about ``block``.
+    Vertices that reach none are left out. All that is reached is counted in memory by
+    :mod:`netloom.operators.reach`, while the links both ways are ``IN_MEMORY`` at most.
+    Otherwise sources go in blocks of about ``block``, or of fewer without a bound on hops,
+    so that about ``PAIRS`` pairs at most are on disk at a time; a block's pairs are deleted
+    once summed.
     """
     if hops == 1:
         return g.undirected().groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("closeness"))
-    links, parts = cut(g.undirected(), "links"), []
-    for sources in _blocks(g, block):
-        pairs = _distances(links, sources, hops).where("dist > 0")
-        parts.append(cut(pairs.groupBy(F.col("s").alias("id")).agg(F.sum(1.0 / F.col("dist")).alias("closeness")), "closeness"))
-    return reduce(DataFrame.unionByName, parts)
+    links = cut(g.undirected(), "links")
+    if hops is None:
+        if links.count() <= IN_MEMORY:
+            sums = reach.harmonic(links)
+            discard(links)
+            return sums
+        block = min(block, max(1, PAIRS // g.vertices.count()))
+    spark, folder = links.sparkSession, place(links.sparkSession, "closeness")
+    for k, sources in enumerate(_blocks(g, block)):
+        pairs = _distances(links, sources, hops, counted=False)
+        pairs.where("dist > 0").groupBy(F.col("s").alias("id")).agg(F.sum(1.0 / F.col("dist")).alias("closeness")).write.parquet(f"{folder}/block={k}")
+        discard(pairs)
+    return spark.read.schema("id long, closeness double").parquet(folder).select("id", "closeness")
 
 
 def _blocks(g: PropertyGraph, block: int) -> list[DataFrame]:
@@ -86,14 +100,16 @@ def all_distances(g: PropertyGraph, hops: int, directed: bool = True) -> DataFra
     return _distances(cut(g.simple() if directed else g.undirected(), "links"), g.vertices, hops)
 
 
-def _distances(links: DataFrame, sources: DataFrame, hops: int | None) -> DataFrame:
+def _distances(links: DataFrame, sources: DataFrame, hops: int | None, counted: bool = True) -> DataFrame:
+    """(s, v, dist, paths) from some sources; paths is 1 unless ``counted``, as numbers of paths may outgrow a long."""
+    total = F.sum("paths") if counted else F.first("paths")
     frontier = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("dist"), F.lit(1).cast("long").alias("paths")), "level")
     levels = [frontier]
     for d in count(1):
         if hops is not None and d > hops:
             break
         known = reduce(DataFrame.unionByName, levels).select("s", F.col("v").alias("dst"))
-        step = frontier.join(links, frontier.v == links.src).groupBy("s", "dst").agg(F.sum("paths").alias("paths")).join(known, ["s", "dst"], "left_anti")
+        step = frontier.join(links, frontier.v == links.src).groupBy("s", "dst").agg(total.alias("paths")).join(known, ["s", "dst"], "left_anti")
         frontier = cut(step.select("s", F.col("dst").alias("v"), F.lit(d).alias("dist"), "paths"), "level")
         levels.append(frontier)
         if frontier.isEmpty():

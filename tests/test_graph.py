@@ -1,5 +1,7 @@
 """The toy graph: V = {1, 2, 3, 4, 5, 9}, E = {1-2 twice, 2-3, 3-1, 3-4, 4-4, 4-5}."""
 
+import os
+
 import pytest
 
 from netloom.operators import components as C
@@ -100,3 +102,67 @@ def test_workloads_of_an_empty_graph(empty):
             continue
         out = run(empty, {"source": 1, "target": 2, "pattern": [(1, 2)], "iterations": 1}).collect()
         assert not out or name in ("count-vertices", "count-edges", "closeness"), name
+
+
+def scattered(spark):
+    """Components of many sizes: a path, a star, a ring with chords, triangles; ids far apart and out of order."""
+    links = [(k, k + 1) for k in range(150)] + [(1000, 1001 + k) for k in range(200)] + [(2000 + k, 2000 + (k * step + 1) % 90) for k in range(90) for step in (1, 7)]
+    links += [(3000 + 3 * k + i, 3000 + 3 * k + j) for k in range(40) for i, j in ((0, 1), (1, 2), (2, 0), (1, 1))] + [(9000, 9000)]
+    links = [((a * 7919) % 10007 - 5000, (b * 7919) % 10007 - 5000) for a, b in links]
+    near = {v: {b for e in links for a, b in (e, e[::-1]) if a == v != b} for e in links for v in e}
+    want = {}
+    for v in near:
+        dist, level = {v: 0}, {v}
+        while level:
+            level = {b for a in level for b in near[a]} - dist.keys()
+            dist |= dict.fromkeys(level, max(dist.values()) + 1)
+        if len(dist) > 1:
+            want[v] = sum(1 / d for d in dist.values() if d)
+    return PropertyGraph.of_edges(spark.createDataFrame(links, "src long, dst long")), want
+
+
+def close(got, want):
+    return got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
+@pytest.mark.parametrize("state, pack, piece", [(64_000_000, 4096, 2_000_000), (1, 1, 1), (20_000, 50, 37)])
+def test_harmonic_closeness_of_all_reached(spark, monkeypatch, state, pack, piece):
+    for name, value in (("STATE", state), ("PACK", pack), ("PIECE", piece)):
+        monkeypatch.setattr(P.reach, name, value)
+    g, want = scattered(spark)
+    ids, indptr, cols, starts = P.reach._ordered(*(g.undirected().where("src < dst").toArrow()[c].to_numpy() for c in ("src", "dst")))
+    got = {int(v): x for block in P.reach._blocks(starts, len(ids)) for v, x in zip(ids[block[2] : block[3]], P.reach._sums(indptr, cols, *block), strict=True)}
+    assert len(starts) == 43 and close(got, want)
+    assert close(rows(P.harmonic_closeness(g, None)), want)
+
+
+def test_harmonic_closeness_writes_no_pairs(spark, monkeypatch):
+    written, cut = [], P.cut
+
+    def counting(df, name):
+        written.append((df := cut(df, name)).count())
+        return df
+
+    monkeypatch.setattr(P, "cut", counting)
+    star = PropertyGraph.of_edges(spark.createDataFrame([(0, k) for k in range(1, 201)], "src long, dst long"))
+    assert close(rows(P.harmonic_closeness(star, None)), {0: 200.0} | dict.fromkeys(range(1, 201), 1 + 199 / 2))
+    assert sum(written) <= 2 * 400
+
+
+def test_harmonic_closeness_where_paths_outgrow_a_long(spark):
+    diamonds = [e for k in range(0, 210, 3) for e in ((k, k + 1), (k, k + 2), (k + 1, k + 3), (k + 2, k + 3))]
+    got = rows(P.harmonic_closeness(PropertyGraph.of_edges(spark.createDataFrame(diamonds, "src long, dst long")), None))
+    assert len(got) == 211 and abs(got[0] - sum((2 if d % 2 else 1) / d for d in range(1, 141))) < 1e-9
+
+
+def test_harmonic_closeness_past_memory(spark, toy, empty, monkeypatch):
+    near = rows(P.harmonic_closeness(toy, None))
+    assert close(near, {1: 2 + 1 / 2 + 1 / 3, 2: 2 + 1 / 2 + 1 / 3, 3: 3.5, 4: 2 + 2 / 2, 5: 1 + 1 / 2 + 2 / 3})
+    assert not rows(P.harmonic_closeness(empty, None))
+    monkeypatch.setattr(P, "IN_MEMORY", 0)
+    monkeypatch.setattr(P, "PAIRS", 12)
+    gone = []
+    monkeypatch.setattr(P, "discard", lambda df, do=P.discard: gone.append(set(df.inputFiles())) or do(df))
+    assert close(rows(P.harmonic_closeness(toy, None)), near)
+    assert len(gone) == 3 and not any(os.path.exists(f.removeprefix("file://")) for files in gone for f in files)
+    assert close(rows(P.harmonic_closeness(toy, 2)), {1: 2.5, 2: 2.5, 3: 3.5, 4: 3.0, 5: 1.5})
