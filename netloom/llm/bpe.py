@@ -3,7 +3,9 @@
 Each leaf of the tree holds the rank of the pair that starts at one symbol, joined
 with the position, so the root is the leftmost pair of the lowest rank. A merge
 changes three leaves; each change is a walk to the root. Encoding n symbols thus takes
-O(n log n), also for one word of a megabyte.
+O(n log n), also for one word of a megabyte. Pieces of up to ``SHORT`` symbols have their
+trees side by side in one array, ``BLOCK`` at a time: a round takes each root, merges
+there and walks up in all of them.
 
 The rest follows the vocabulary file: special tokens are cut out first, then NFC,
 lower case, a split into pieces, and bytes as printable characters with ``</w>`` at a
@@ -21,7 +23,7 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 from struct import pack
 
@@ -34,7 +36,12 @@ from pyspark.sql import functions as F
 from netloom.llm.common import map_arrow, text_bytes
 
 CACHE = 96 << 20
+SHORT, BLOCK = 63, 4096
+#: Words looked up in one go.
+_WORDS = 1 << 15
 _NONE = 1 << 62
+#: Where a row of symbols has none; no vocabulary has this id.
+_GAP = (1 << 24) - 1
 #: Fixed by the vocabulary file: how it normalises and splits a text, and that ids are decoded to their tokens with spaces between.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -46,7 +53,7 @@ _PRE_TOKENIZER = {
     ],
 }
 #: The split, with white space as the library has it.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")  # a line is a word
 
 
 def byte_alphabet() -> list[str]:
@@ -56,6 +63,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
+def _parts(rows: list, most: int) -> Iterator[list]:
+    return (rows[at : at + most] for at in range(0, len(rows), most))
+
+
 class PairTree:
     """Minimum over leaves, with point updates."""
 
@@ -105,17 +116,20 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.held, self.new, self.old = most // 2, 0, {}, {}
 
-    def get(self, key):
-        hit = self.old.get(key)
-        if hit is not None:
-            self.put(key, hit)
-        return hit
-
-    def put(self, key, value: bytes) -> None:
-        self.new[key] = value
-        self.held += len(key) + len(value) + 180  # two objects and their place
-        if self.held >= self.most:
-            self.old, self.new, self.held = self.new, {}, 0
+    def look_up(self, keys: set, learn: Callable[[list], list[bytes]]) -> dict:
+        """The values of all ``keys``; ``learn`` gives those of keys that aren't remembered."""
+        found = dict(zip(keys, map(self.new.get, keys), strict=True))
+        late = [k for k, v in found.items() if v is None]
+        found.update(zip(late, map(self.old.get, late), strict=True))
+        for some in _parts([k for k in late if found[k] is None], _WORDS):
+            found.update(zip(some, learn(some), strict=True))
+        for some in _parts(late, _WORDS):
+            values = [found[k] for k in some]
+            self.new.update(zip(some, values, strict=True))
+            self.held += sum(map(len, some)) + sum(map(len, values)) + 180 * len(some)  # two objects and their place
+            if self.held >= self.most:
+                self.old, self.new, self.held = self.new, {}, 0
+        return found
 
 
 class Bpe:
@@ -138,6 +152,13 @@ class Bpe:
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.last = [self.vocab.get(c + self.end) for c in alphabet]
         del self.vocab
+        #: the same for arrays: pairs in order, with one that none equals at the end, and their ranks
+        pairs = np.fromiter(self.rank, "i8", len(self.rank))
+        order = np.argsort(pairs)
+        self._pairs = np.append(pairs[order], _NONE)
+        self._ranks = np.append(np.fromiter(self.rank.values(), "i8", len(order))[order] >> 32, 0)
+        self._merged = np.array(self.merged, "i8")
+        self._inner, self._last = (np.array([_GAP if x is None else x for x in side], "i8") for side in (self.inner, self.last))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known, self.pieces = Memory(cache * 2 // 3), Memory(cache // 3)
 
@@ -168,47 +189,110 @@ class Bpe:
                 put(h, r | h if (r := rank(symbols[h] << 24 | s)) is not None else _NONE)
         return [s for s in symbols if s >= 0]
 
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece as little-endian 32-bit numbers."""
-        hit = self.pieces.new.get(piece) or self.pieces.get(piece)
-        if hit is None:
-            raw, inner = piece.encode(), self.inner
-            symbols = [inner[b] for b in raw]
-            symbols[-1] = self.last[raw[-1]]
+    def _keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the leaves at ``at`` hold for these pairs."""
+        pair = left << 24 | right
+        place = np.searchsorted(self._pairs, pair)
+        return np.where(self._pairs[place] == pair, self._ranks[place] * (SHORT + 1) | at, _NONE)
+
+    def _merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The ids of pieces of fewer than ``width`` bytes, a power of two: ``merge`` on a tree of ``width`` leaves for each.
+
+        Symbols stand from place 1 on, so that there is a gap before and behind them.
+        """
+        m, depth, places = len(pieces), width.bit_length() - 1, width + 1
+        sizes = np.fromiter(map(len, pieces), "i8", m)
+        raw, ends = np.frombuffer(b"".join(pieces), "u1"), np.cumsum(sizes)
+        flat = self._inner[raw]
+        flat[ends - 1] = self._last[raw[ends - 1]]
+        row = np.repeat(np.arange(m), sizes)
+        if (lacking := flat == _GAP).any():
+            flat, row = flat[~lacking], row[~lacking]
+            sizes = np.bincount(row, minlength=m)
+            ends = np.cumsum(sizes)
+        place = np.arange(1, len(flat) + 1) - np.repeat(ends - sizes, sizes)
+        symbol = np.full(m * places, _GAP, "i8")
+        symbol[row * places + place] = flat
+        after, before = np.tile(np.arange(1, places + 1), m), np.tile(np.arange(-1, places - 1), m)
+        tree = np.full((m, 2 * width), _NONE, "i8")
+        tree[row, width + place] = self._keys(flat, symbol[row * places + place + 1], place)
+        low = width
+        while low > 1:
+            tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
+            low //= 2
+        node, live = tree.reshape(-1), np.arange(m)
+        while True:
+            least = node[live * (2 * width) + 1]
+            on = least < _NONE
+            live, least = live[on], least[on]
+            if not len(live):
+                break
+            start = live * places
+            i, new = least & SHORT, self._merged[least // (SHORT + 1)]
+            j = after[start + i]
+            k, h = after[start + j], before[start + i]
+            symbol[start + i], symbol[start + j] = new, _GAP
+            after[start + i], before[start + k] = k, i
+            keys = self._keys(np.concatenate([new, symbol[start + h]]), np.concatenate([symbol[start + k], new]), np.concatenate([i, h]))
+            at, root = np.concatenate([i, h, j]) + width, np.tile(live * (2 * width), 3)
+            node[root + at] = np.concatenate([keys, np.full(len(live), _NONE)])
+            for _ in range(depth):
+                at >>= 1
+                child = root + 2 * at
+                node[root + at] = np.minimum(node[child], node[child + 1])
+        left = (symbol != _GAP).reshape(m, places)
+        ids = symbol[left.reshape(-1)].astype("<u4").tobytes()
+        cuts = [0, *(4 * np.cumsum(left.sum(1))).tolist()]
+        return [ids[a:b] for a, b in pairwise(cuts)]
+
+    def pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces as little-endian 32-bit numbers."""
+        raws = [p.encode() for p in pieces]
+        sizes, out = np.fromiter(map(len, raws), "i8", len(raws)), [b""] * len(raws)
+        width = 2
+        while width <= SHORT + 1:
+            for some in _parts(np.flatnonzero((sizes < width) & (2 * sizes >= width)).tolist(), BLOCK):
+                for n, ids in zip(some, self._merge_rows([raws[n] for n in some], width), strict=True):
+                    out[n] = ids
+            width *= 2
+        for n in np.flatnonzero(sizes > SHORT).tolist():
+            symbols = [self.inner[b] for b in raws[n]]
+            symbols[-1] = self.last[raws[n][-1]]
             ids = self.merge([s for s in symbols if s is not None])
-            hit = pack(f"<{len(ids)}I", *ids)
-            self.pieces.put(piece, hit)
-        return hit
+            out[n] = pack(f"<{len(ids)}I", *ids)
+        return out
 
-    def word(self, word: str) -> bytes:
-        out = []
-        for part in self.cut.split(word) if self.cut else [word]:
+    def words_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words as little-endian 32-bit numbers; no piece spans two lines, so all are cut at once."""
+        text, found = b"\n".join(words).decode(), []
+        for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
-                out.append(pack("<I", self.special[part]))
+                found.append(self.special[part])
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
-            part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-            out += [self.piece(p) for p in _PIECES.findall(part)]
-        return b"".join(out)
+            found += _PIECES.findall(part.replace("Σ", "σ").lower())
+        ids = self.pieces.look_up({*found} - {"\n", *self.special.values()}, self.pieces_ids) | {i: pack("<I", i) for i in self.special.values()}
+        out, word = [], []
+        for p in found:
+            if p == "\n":
+                out.append(b"".join(word))
+                word = []
+            else:
+                word.append(ids[p])
+        return [*out, b"".join(word)]
 
-    def encode(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers.
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers.
 
         The vocabulary lower-cases all but special tokens, which start with ``<|``.
         """
-        memory, out = self.known, []
-        new = memory.new
-        for w in (text if b"<|" in text else text.lower()).split():
-            hit = new.get(w)
-            if hit is None:
-                hit = memory.get(w)
-                if hit is None:
-                    hit = self.word(w.decode())
-                    memory.put(w, hit)
-                new = memory.new
-            out.append(hit)
-        return b"".join(out)
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        ids = self.known.look_up(set().union(*words), self.words_ids)
+        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
+
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The tokens of ids that the vocabulary has, with spaces between."""
@@ -243,7 +327,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """(doc_id, ids array<int>) for every row."""
 
     def batch(b: pa.RecordBatch, bpe: Bpe) -> pa.RecordBatch:
-        rows = [np.frombuffer(bpe.encode(t), "<u4") for t in text_bytes(b.column(1))]
+        rows = [np.frombuffer(raw, "<u4") for raw in bpe.encode_all(text_bytes(b.column(1)))]
         ends = np.cumsum([0, *map(len, rows)])
         values = np.concatenate(rows).astype("i4") if rows else np.empty(0, "i4")
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
@@ -269,8 +353,7 @@ def bpe_digest(docs: DataFrame, path: str | None = None, cache: int = CACHE) ->
 
     def batch(b: pa.RecordBatch, bpe: Bpe) -> pa.RecordBatch:
         n, ids, back = [], [], []
-        for t in text_bytes(b.column(1)):
-            raw = bpe.encode(t)
+        for raw in bpe.encode_all(text_bytes(b.column(1))):
             n.append(len(raw) // 4)
             ids.append(hashlib.sha256(raw).hexdigest())
             back.append(hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4").tolist())).hexdigest())

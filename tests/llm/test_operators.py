@@ -141,6 +141,19 @@ def test_bpe_on_random_characters(library):
         assert token_store.LibraryEncoder.of(bpe.read_spec()).encode(t.encode()) == np.array(want, "<u4").tobytes()
 
 
+def test_bpe_merges_short_pieces_side_by_side(library, monkeypatch):
+    """A tree of its own for each new piece took op2_bpe past its CPU budget."""
+    leaves, tree, r = [], bpe.PairTree, random.Random(6)
+    monkeypatch.setattr(bpe, "PairTree", lambda keys: leaves.append(len(keys)) or tree(keys))
+    monkeypatch.setattr(bpe, "BLOCK", 100, raising=False)
+    sizes = [1, 2, 3, 4, 7, 8, 15, 16, 17, 31, 32, 33, 62, 63, 64, 65, 300]
+    words_ = ["".join(r.choice(pool) for _ in range(r.choice(sizes))) for pool in ("aaab", "etaoinshr", "thé漢Σİ", "an'<|!1") for _ in range(1000)]
+    text = " ".join([*words_, "<|endoftext|>", *r.sample(words_, 500)])
+    want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(bpe.Bpe(bpe.read_spec(), cache).encode(text.encode()) == want for cache in (0, 100_000, bpe.CACHE))
+    assert min(leaves) >= 63
+
+
 def test_token_store(docs, none, by_id, library, spark, tmp_path):
     manifest = token_store.write_store(docs, f"file://{tmp_path}/tokens")
     got = {r.doc_id: r for r in token_store.read_store(manifest).collect()}
