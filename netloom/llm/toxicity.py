@@ -6,6 +6,8 @@ once) and hardly in clean ones, counted over every labelled row that is not held
 term needs ``MIN_CONTEXTS`` and a ``MIN_SHARE`` of the toxic texts; as a text adds to the
 count of its own words only, there are at most (distinct words of a toxic text on
 average) / MIN_SHARE words, however many rows there are, and that bounds the broadcast.
+Labels meet texts in a join; a bitmap of hashed ids (8 MB at most) first drops most texts
+that have no label, so that about the labelled ones are shuffled, once.
 
 Matching. A text's word is turned into a Levenshtein automaton that walks the lexicon
 trie: whole-word terms of four letters or more match with one edit, also those that
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import map_arrow, spark_schema
 
 MAX_TRAINING_ROWS = 20_000
+BITS, MOST_BITS = 16, 1 << 26  # of the bitmap of labelled ids: for each, and in all
 WINDOW = 8
 CACHE = 400_000
 MIN_CONTEXTS, MIN_SHARE, MIN_ODDS = 6, 0.0005, 2.5
@@ -204,15 +207,42 @@ def remainder(doc_id: int | None, of: int = 3) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % of
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 1, of: int = 3, most: int | None = None) -> DataFrame:
-    """(text, toxic) of the labelled rows that are not held out, or of about ``most`` of them."""
+def marked_ids(labels: DataFrame, held_out: int = 1, of: int = 3, most: int | None = None) -> DataFrame:
+    """(doc_id, toxic) of the labels that are not held out, or of about ``most`` of them."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     marked = marked.where((F.pmod(F.crc32(key.cast("binary")), F.lit(of)) != held_out) & F.col("doc_id").isNotNull())
     if most is not None and (n := marked.count()) > most:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return marked
+
+
+def likely_rows(docs: DataFrame, ids: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, text) of every row whose id is in ``ids``, and of a few others: a join must follow.
+
+    The others are those whose id's hash meets that of one in ``ids`` in a bitmap of
+    ``BITS`` to twice as many bits an id, up to ``most_bits``.
+    """
+    size = min(most_bits, 64 << (BITS * ids.count() // 64).bit_length())
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(size).cast("long"))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    got = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    words = np.zeros(size // 64, "i8")
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    bitmap = docs.sparkSession.createDataFrame(pa.table({"bitmap": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))}))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(marked, "doc_id").select("text", "toxic")
+    met = F.call_function("shiftright", F.col("bitmap")[word.cast("int")], bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return rows.join(F.broadcast(bitmap), met).drop("bitmap")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 1, of: int = 3) -> DataFrame:
+    """(text, toxic) of the labelled rows that are not held out.
+
+    The join is by a shuffle whatever the size of the labels, which grow with the
+    documents; only the texts of likely rows are in it.
+    """
+    marked = marked_ids(labels, held_out, of)
+    return likely_rows(docs, marked).join(marked.hint("merge"), "doc_id").select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> list[Term]:
@@ -268,13 +298,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, of: int = 3, most: int = MAX_TRAINING_ROWS) -> tuple[list[Term], np.ndarray]:
     terms = learn_lexicon(training_rows(docs, labels, held_out, of))
-    rows = training_rows(docs, labels, held_out, of, most)
+    marked = marked_ids(labels, held_out, of, most)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def batch(b: pa.RecordBatch, m: Matcher) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([m.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([m.features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    got = map_arrow(rows.select("text", F.col("toxic").cast("int").alias("toxic")), batch, "x array<double>, y int", lambda: Matcher(shared.value)).toArrow()
+    found = map_arrow(likely_rows(docs, marked), batch, "doc_id long, x array<double>", lambda: Matcher(shared.value))  # no text is shuffled
+    got = found.join(marked, "doc_id").select("x", F.col("toxic").cast("int").alias("y")).toArrow()
     x, y = np.array(got["x"].to_pylist(), float).reshape(-1, FEATURES), got["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         share = y.mean() if len(y) else 0.0

@@ -488,6 +488,33 @@ def test_toxicity(spark, none):
     assert alone < 0.01
 
 
+def shuffled_bytes(spark) -> int:
+    sc, jvm = spark._jsc.sc(), spark._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_a_label_are_not_shuffled(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"{r.getrandbits(60):x}" for _ in range(400))) for i in [*range(0, 6000, 10), *range(1, 1000, 10), 20, 20, None]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = common.shared_table(docs, "docs")
+    labels = spark.createDataFrame([(i, 1, int(i % 20 == 0)) for i in range(0, 200, 10)], "doc_id long, quality int, toxic int")
+    want = sorted((t, int(i % 20 == 0)) for i, t in rows if i is not None and i % 10 == 0 and i < 200 and remainder(i, 3) != 1)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with labels too large for it
+    try:
+        before = shuffled_bytes(spark)
+        assert sorted(map(tuple, toxicity.training_rows(docs, labels).collect())) == want
+        assert shuffled_bytes(spark) - before < sum(len(t) for _, t in rows) / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    ids = toxicity.marked_ids(labels)
+    full = toxicity.likely_rows(docs, ids, most_bits=64).join(ids, "doc_id").select("text", "toxic")  # a bitmap too small drops little
+    assert sorted(map(tuple, full.collect())) == want
+
+
 def test_misspelt_terms_of_many_forms_and_of_four_letters(spark):
     r, forms = random.Random(8), ["idiot", "idiotic", "idiots", "idiotin", "idioten", "idiotka"]
     vocab = ["".join(r.choice("abcefg") for _ in range(7)) for _ in range(300)]
