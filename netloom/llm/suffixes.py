@@ -1,4 +1,4 @@
-"""Suffix arrays of bytes by induced sorting, and permuted common prefixes."""
+"""Suffix arrays of bytes by induced sorting, the order of the strings it starts from by doubling, and permuted common prefixes."""
 
 from __future__ import annotations
 
@@ -86,36 +86,25 @@ def _induce_bytes(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray)
     return sa
 
 
-def _induce_names(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
-    """The same over a large alphabet, a suffix at a time."""
+def _by_doubling(t: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of ``t`` over any alphabet: each round sorts by twice as many letters those that are still equal."""
     n = len(t)
-    count = np.bincount(t, minlength=sigma)
-    end = np.cumsum(count)
-    text, is_small = t.tolist(), small.tolist()
-    sa, tail = [-1] * n, (end - 1).tolist()
-    for i in reversed(lms.tolist()):
-        c = text[i]
-        sa[tail[c]] = i
-        tail[c] -= 1
-    head = (end - count).tolist()
-    c = text[n - 1]
-    kept, sa[head[c]] = sa[head[c]], n - 1
-    assert kept < 0
-    head[c] += 1
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not is_small[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = (end - 1).tolist()
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and is_small[j]:
-            c = text[j]
-            sa[tail[c]] = j
-            tail[c] -= 1
-    return np.array(sa, "i8")
+    sa = np.argsort(t, kind="stable")
+    rank = np.empty(n, "i8")  # the first place of those equal so far
+    at, items, key, h = np.arange(n), sa, t[sa], 0
+    while True:
+        first = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        rank[items] = at[np.maximum.accumulate(np.where(first[:-1], np.arange(len(at)), 0))]
+        at = at[~(first[:-1] & first[1:])]
+        if not len(at):
+            return sa
+        h = max(1, 2 * h)
+        items = sa[at]
+        after = np.where(items + h < n, rank[np.minimum(items + h, n - 1)] + 1, 0)
+        key = rank[items] * (n + 1) + after
+        order = np.argsort(key)
+        items, key = items[order], key[order]
+        sa[at] = items
 
 
 def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -138,14 +127,15 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
+    if sigma > 512:
+        return _by_doubling(t)
     small = types_of(t)
     lms = leftmost_smaller(small)
-    induce = _induce_bytes if sigma <= 512 else _induce_names
     if len(lms) < 2:
-        return induce(t, small, sigma, lms)
+        return _induce_bytes(t, small, sigma, lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    sa = induce(t, small, sigma, lms)
+    sa = _induce_bytes(t, small, sigma, lms)
     by_string = sa[is_lms[sa]]
     place = np.full(n, -1, "i8")
     place[lms] = np.arange(len(lms))
@@ -161,8 +151,8 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), "i8")
         reduced[place[by_string]] = names
-        by_string = lms[suffix_array(reduced, int(names[-1]) + 1)]
-    return induce(t, small, sigma, by_string)
+        by_string = lms[_by_doubling(reduced)]
+    return _induce_bytes(t, small, sigma, by_string)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

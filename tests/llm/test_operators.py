@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -346,6 +347,26 @@ def test_suffix_arrays():
         assert suffixes.common_prefixes(t, np.array(want), 6).tolist() == [shared[i] for i in range(len(data))]
 
 
+def test_suffixes_of_reduced_strings_are_not_sorted_one_by_one():
+    r = random.Random(6)
+    once = bytes(r.choice(b"abcd") for _ in range(6000))
+    for data in (once * 2 + once[:999], b"abcabd" * 2000):
+        lines = [0]
+
+        def count(frame, event, arg, lines=lines):
+            lines[0] += event == "line"
+            return count if frame.f_code.co_filename == suffixes.__file__ else None
+
+        before = sys.gettrace()
+        sys.settrace(count)
+        try:
+            got = suffixes.suffix_array(np.frombuffer(data, "u1").astype("i8"), 256)
+        finally:
+            sys.settrace(before)
+        assert got.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        assert lines[0] < len(data) / 4  # a line for each of them would be as many as a third, or more
+
+
 def removed(rows, length):
     data = {i: (t or "").encode() for i, t in rows}
     count = collections.Counter(b[i : i + length] for b in data.values() for i in range(len(b) - length + 1))
